@@ -6,19 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.jpeg import media_report, with_media
 from tidemark.llm.lines import line_bitmaps, line_report
+from tidemark.llm.pieces import piece_report
 from tidemark.llm.shared import table
+from tidemark.llm.tokens import token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """The public vocabulary file of that name."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_report(docs, line_bitmaps(docs, min_docs=10, min_chars=1))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(with_media(table(spark, sf_dir, "documents"))).drop("width", "height")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_records": op1_token_records,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op9_media_columns": op9_media_columns,
 }
 
 _TRIMMED = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
