@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "records": [len(shard.index)], "tokens": [shard.tokens]})
 
     dealt = keyed(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tag")
-    return sorted((r.asDict() for r in dealt.mapInArrow(write, "part int, records long, tokens long").collect()), key=lambda r: r["part"])
+    return sorted((r.asDict() for r in dealt.mapInArrow(write, "part long, records long, tokens long").collect()), key=lambda r: r["part"])
 
 
 def read_index(fs: pafs.FileSystem, path: str) -> np.ndarray:
