@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.jpeg import media_report, with_media
 from tidemark.llm.lines import line_bitmaps, line_report
 from tidemark.llm.pieces import piece_report
+from tidemark.llm.secrets import RULES, secret_report
 from tidemark.llm.shared import table
 from tidemark.llm.tokens import token_records
 
@@ -26,6 +27,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -41,6 +46,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_records": op1_token_records,
+    "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op9_media_columns": op9_media_columns,
@@ -49,7 +55,31 @@ QUERIES: dict[str, Query] = {
 _TRIMMED = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 _KEY = f"translate({_TRIMMED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _secret_sql() -> str:
+    """Starts are sums of the gaps and matches before; DuckDB's expressions take the leftmost, greedy match too."""
+    spans = []
+    for k, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        spans.append(f"""
+  select doc_id, {k} as kind, '{r.kind}' as name, {r.base} as base, starts[i] as start, starts[i] + length(m[i]) as stop
+  from (select *, list_transform(range(1, len(m) + 1), lambda j: (list_sum(list_transform(g[1:j], lambda x: length(x))) +
+      coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0))::bigint) as starts
+    from (select doc_id, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {r.value_group}) as v, string_split_regex(t, '{p}') as g
+      from (select doc_id, coalesce(text, '') as t from documents)) where len(m) > 0), unnest(range(1, len(m) + 1)) as u(i)
+  where length(v[i]) >= {r.least}""")
+    counts = ", ".join(f"count(*) filter (where name = '{r.kind}')::bigint as n_{r.kind}" for r in RULES if r.base)
+    joined = "coalesce(string_agg(name || ':' || start || ':' || stop, ',' order by start, kind){}, '')"
+    return f"""
+with spans as ({" union all ".join(spans)})
+select d.doc_id, {counts}, sha256({joined.format(" filter (where base)")}) as base_sha256, {joined.format(" filter (where name is not null)")} as spans
+from documents d left join spans s on d.doc_id = s.doc_id group by d.doc_id
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op3_secret_scan": _secret_sql(),
     "op5_line_dedup": f"""
 with split as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents
