@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.jpeg import media_report, with_media
 from tidemark.llm.lines import line_bitmaps, line_report
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.pieces import piece_report
 from tidemark.llm.secrets import RULES, secret_report
 from tidemark.llm.shared import table
@@ -27,6 +28,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).drop("tag")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_records": op1_token_records,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
@@ -79,6 +85,24 @@ from documents d left join spans s on d.doc_id = s.doc_id group by d.doc_id
 
 
 ORACLE: dict[str, str] = {
+    "op2_minhash_dedup": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingle as (
+  select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end as s
+  from words, unnest(range(1, greatest(2, len(w) - 2))) as u(i) where len(w) > 0
+), size as (select doc_id, count(*) as n from shingle group by doc_id),
+few as (select s from shingle group by s having count(*) > 1),
+pair as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common
+  from shingle a join few using (s) join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), link as (
+  select x, y from pair p join size a on p.x = a.doc_id join size b on p.y = b.doc_id where 100 * common >= 80 * (a.n + b.n - common)
+), way as (select x, y from link union select y, x from link),
+reach(doc_id, place) as (select doc_id, doc_id from documents union select r.doc_id, w.y from reach r join way w on r.place = w.x)
+select r.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(r.place) as component_id, r.doc_id = min(r.place) as kept
+from reach r left join size s on r.doc_id = s.doc_id group by r.doc_id
+""",
     "op3_secret_scan": _secret_sql(),
     "op5_line_dedup": f"""
 with split as (
