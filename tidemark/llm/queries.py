@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.jpeg import media_report, with_media
 from tidemark.llm.lines import line_bitmaps, line_report
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.pieces import piece_report
+from tidemark.llm.quality import fit, held_out, with_scores
 from tidemark.llm.secrets import RULES, secret_report
 from tidemark.llm.shared import table
+from tidemark.llm.templates import leaks
 from tidemark.llm.tokens import token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,17 +48,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(docs, line_bitmaps(docs, min_docs=10, min_chars=1))
 
 
+def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(with_media(table(spark, sf_dir, "documents"))).drop("width", "height")
 
 
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, percent=80).drop("tag")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_records": op1_token_records,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op8_quality_votes": op8_quality_votes,
     "op9_media_columns": op9_media_columns,
+    "op10_template_leaks": op10_template_leaks,
 }
 
 _TRIMMED = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
