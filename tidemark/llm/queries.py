@@ -16,6 +16,7 @@ from tidemark.llm.secrets import RULES, secret_report
 from tidemark.llm.shared import table
 from tidemark.llm.templates import leaks
 from tidemark.llm.tokens import token_records
+from tidemark.llm.warc import capture_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(docs, line_bitmaps(docs, min_docs=10, min_chars=1))
 
 
+def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_report(table(spark, sf_dir, "pages"), least=1000)
+
+
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc_captures": op6_warc_captures,
     "op8_quality_votes": op8_quality_votes,
     "op9_media_columns": op9_media_columns,
     "op10_template_leaks": op10_template_leaks,
@@ -134,5 +140,14 @@ with split as (
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op6_warc_captures": """
+with page as (
+  select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), named as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) else page_id end as first from page
+)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from named
 """,
 }
