@@ -39,7 +39,8 @@ from tidemark.llm.shared import buffer_of, chunks, keyed, scratch_path
 
 _HEAD = struct.Struct("<BBqI")
 _FRAME = struct.Struct("<QI")
-_KEPT = 600_000  # words that a worker keeps encoded
+_KEPT = 400_000  # words that a worker keeps encoded
+_MARK = "\u2980"  # stands between words that are encoded in one call
 
 
 def masked(data: bytes) -> int:
@@ -75,6 +76,23 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without blanks, by one library call on all of them with a mark between; its ids tell them apart."""
+        mark = self.whole([_MARK])[0]
+        odd = [w for w in words if _MARK.encode() in w]
+        if odd or not mark:
+            return self.whole([w.decode(errors="replace") for w in words])
+        raw = self.whole([f" {_MARK} ".join(w.decode(errors="replace") for w in words)])[0]
+        ids, own = np.frombuffer(raw, self.dtype), np.frombuffer(mark, self.dtype)
+        hit = np.ones(max(0, len(ids) - len(own) + 1), bool)
+        for k in range(len(own)):
+            hit &= ids[k : k + len(hit)] == own[k]
+        at = np.flatnonzero(hit) * self.dtype.itemsize
+        if len(at) != len(words) - 1:
+            raise ValueError("marks between words were lost")
+        starts, stops = [0, *(at + len(mark)).tolist()], [*at.tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(starts, stops, strict=True)]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self.whole([t.decode(errors="replace") for t in texts])
@@ -83,9 +101,9 @@ class WordEncoder:
         if len(self.kept) + len(missing) > _KEPT:
             self.kept.clear()
             missing = list(set().union(*split))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.kept.update(zip(part, self.whole([w.decode(errors="replace") for w in part]), strict=True))
+        for at in range(0, len(missing), 10_000):
+            part = missing[at : at + 10_000]
+            self.kept.update(zip(part, self.words(part), strict=True))
         return [b"".join(map(self.kept.__getitem__, words)) for words in split]
 
 
@@ -127,7 +145,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
         encode = WordEncoder.of(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         shard = None
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             shard = shard or _Shard(folder, task.partitionId(), task.taskAttemptId())
             data, ends = buffer_of(batch.column("text"))
             raw = data.tobytes()
