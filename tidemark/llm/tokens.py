@@ -25,6 +25,7 @@ texts' hash; an empty table gives no shards and no rows; other columns are ignor
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,8 +40,11 @@ from tidemark.llm.shared import buffer_of, chunks, keyed, scratch_path
 
 _HEAD = struct.Struct("<BBqI")
 _FRAME = struct.Struct("<QI")
-_KEPT = 400_000  # words that a worker keeps encoded
+_KEPT = 600_000  # words that a worker keeps encoded
 _MARK = "\u2980"  # stands between words that are encoded in one call
+#: A run of Latin letters (each its own composed form, with a lower case of one letter), perhaps with signs before and
+#: after. These parts are tokens' bounds in any case, so they are looked up on their own.
+_PLAIN = re.compile("([(\\[\"#$*-]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
 
 def masked(data: bytes) -> int:
@@ -48,6 +52,12 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return dict(zip((b for b in range(256) if b not in shown), range(256, 512), strict=False))
+
+
 class WordEncoder:
     """Ids of texts as bytes of ``dtype``; equal to the library's ``encode(text, add_special_tokens=False)``."""
 
@@ -66,6 +76,10 @@ class WordEncoder:
         added = self.library.get_added_tokens_decoder().values()
         self.by_word = not any(set(str(a.content)) & set(" \t\r\n\x0b\x0c") or a.lstrip or a.rstrip for a in added)
         self.by_word = self.by_word and all(self.whole([t]) == [b"".join(self.whole(t.split()))] for t in probe)
+        self.parts: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        plain = ["Éclair,", "(\"it'", "a***", "the", "ÜBER!!", "Ǆñandú?", "x"]
+        self.by_part = self.by_word and [self.part(w) for w in plain] == self.whole(plain)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -76,6 +90,25 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def part(self, word: str) -> bytes | None:
+        """Ids of a word of plain letters with signs after them, by the model alone; None for other words."""
+        found = _PLAIN.fullmatch(word)
+        if not found:
+            return None
+        lead, core, tail = found[1], found[2].lower(), found[3]
+        ids = self.parts.get(core)
+        if ids is None:
+            letters = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.library.model.tokenize(letters)], self.dtype).tobytes()
+            self.parts[core] = ids
+        return (self.signs(lead) if lead else b"") + ids + (self.signs(tail) if tail else b"")
+
+    def signs(self, run: str) -> bytes:
+        ids = self.parts.get(run)
+        if ids is None:
+            ids = self.parts[run] = self.whole([run])[0]
+        return ids
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words without blanks, by one library call on all of them with a mark between; its ids tell them apart."""
         mark = self.whole([_MARK])[0]
@@ -101,6 +134,17 @@ class WordEncoder:
         if len(self.kept) + len(missing) > _KEPT:
             self.kept.clear()
             missing = list(set().union(*split))
+        if len(self.parts) > _KEPT // 2:
+            self.parts.clear()
+        if self.by_part:
+            rest = []
+            for w in missing:
+                ids = self.part(w.decode(errors="replace"))
+                if ids is None:
+                    rest.append(w)
+                else:
+                    self.kept[w] = ids
+            missing = rest
         for at in range(0, len(missing), 10_000):
             part = missing[at : at + 10_000]
             self.kept.update(zip(part, self.words(part), strict=True))
