@@ -8,11 +8,12 @@ three symbols. Every pair within that distance shares a key; a pair at similarit
 about one in a million.
 
 Plan. Equal sets are one node from the start. Keys that only one node has are dropped. Each remaining key links its nodes to
-one of them (a star, not all pairs); pairs are compared by signature (all 64 symbols, a bound that a pair at the threshold
-exceeds about once in 10**8) and then by full sets. Stars can leave similar nodes in different components, so keys
-whose nodes are in several components are gone through once more: blocks of such nodes are compared by signature in numpy
-and only close pairs of different components are checked on full sets. Components are found by alternating large-star and
-small-star rounds on tables in the shared folder.
+one of them, its centre (a star, not all pairs): the node that shares keys with the most others. Pairs are compared by
+signature (all 64 symbols, a bound that a pair at the threshold exceeds about once in 10**8) and then by full sets. Stars
+can leave similar nodes in different components. So families, the nodes that share keys with one centre, are gone through
+once more where they still hold several components: in blocks of about 512 nodes, each against each, signature-close pairs
+of different components are checked on full sets inside the task, which returns a forest. Components are found by
+alternating large-star and small-star rounds on tables in the shared folder.
 
 Exact links: 100 * |A and B| >= percent * |A or B| on full sets of 64-bit shingle hashes.
 
@@ -119,6 +120,13 @@ def _close(most: int, percent: int):
     return rows
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _exact(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +134,7 @@ def _exact(percent: int):
             good = []
             for a, b in zip(left, right, strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.searchsorted(a, b)
-                both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
+                good.append(_similar(a, b, percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows
@@ -146,33 +152,53 @@ def _sets(size: int):
     return rows
 
 
-def _cross(most: int, percent: int):
-    """Of one key's block pair: signature-close pairs of different components."""
+def _family(most: int, percent: int):
+    """Links found in one block pair of a family. Signature-close pairs of different components are checked on full sets,
+    closest first, unless links found here already connect them: what goes out is a forest, at most one row a node."""
 
-    def pairs(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
+    def links(table: pa.Table) -> pa.Table:
+        side, n, comp = table.column("side").to_numpy(), table.column("n").to_numpy(), _codes(table.column("comp"))
         sig = _matrix(pa.concat_arrays(table.column("sig").chunks), "<u2", _SYMBOLS)
-        comp, n = _codes(table.column("comp")), table.column("n").to_numpy()
         rows = np.flatnonzero(side == 0)
         cols = np.flatnonzero(side == 1) if (side == 1).any() else rows
-        same = cols is rows
-        a, b = [], []
+        found = []
         for at in range(0, len(rows), 64):
             part = rows[at : at + 64]
             differ = np.zeros((len(part), len(cols)), np.int16)
             for k in range(_SYMBOLS):
                 differ += sig[part, k][:, None] != sig[cols, k][None, :]
-            small = np.minimum(n[part][:, None], n[cols][None, :]) * 100 >= percent * np.maximum(n[part][:, None], n[cols][None, :])
-            ok = (differ <= most) & small & (comp[part][:, None] != comp[cols][None, :])
-            if same:
+            alike = np.minimum(n[part][:, None], n[cols][None, :]) * 100 >= percent * np.maximum(n[part][:, None], n[cols][None, :])
+            ok = (differ <= most) & alike & (comp[part][:, None] != comp[cols][None, :])
+            if cols is rows:
                 ok &= part[:, None] < cols[None, :]
             i, j = np.nonzero(ok)
-            a.append(part[i])
-            b.append(cols[j])
+            found.append(np.stack([differ[i, j].astype(np.int64), part[i], cols[j]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        above = list(range(int(comp.max()) + 1)) if len(comp) else []
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        sets, out = table.column("shingles"), []
+        kept: dict[int, np.ndarray] = {}
+        names = comp.tolist()
+        for _, i, j in pairs.tolist():
+            x, y = top(names[i]), top(names[j])
+            if x == y:
+                continue
+            for r in (i, j):
+                if r not in kept:
+                    kept[r] = np.frombuffer(sets[r].as_buffer(), np.uint64)
+            if _similar(kept[i], kept[j], percent):
+                above[x] = y
+                out.append((i, j))
         nodes = table.column("node")
-        return pa.table({"a": nodes.take(pa.array(np.concatenate(a))), "b": nodes.take(pa.array(np.concatenate(b)))})
+        return pa.table({"a": nodes.take(pa.array([i for i, _ in out], pa.int64())), "b": nodes.take(pa.array([j for _, j in out], pa.int64()))})
 
-    return pairs
+    return links
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
@@ -212,8 +238,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = sketch.where("n > 0")
     nodes = written(full.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tag")).alias("row"), F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "nodes")
     keys = nodes.select("node", "sig").mapInArrow(_key_rows, "key long, node binary")
-    shared = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre <> other").drop("other")
-    buckets = written(keys.join(shared, "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = written(keys.join(shared, "key"), "members")
+    # a key's centre is its node with the most company over all keys: an original rather than one of its copies
+    company = members.groupBy("node").agg(F.sum("members").alias("company"))
+    centres = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("centre")).select("key", "centre.node")
+    buckets = written(members.select("key", "node").join(centres.withColumnRenamed("node", "centre"), "key").select("centre", "node").distinct(), "families")
     # full sets of the nodes that share a key with another node
     needed = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("row.doc_id").alias("_id"), F.col("row.tag").alias("_tag"))
     texts = keyed(docs)
@@ -228,23 +258,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def linked(pairs: DataFrame) -> DataFrame:
         return sides(pairs, sets.withColumnRenamed("shingles", "set"), "set").mapInArrow(_exact(percent), "a binary, b binary")
 
-    stars = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     near = sides(stars, nodes, "n", "sig").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "sig_a", "sig_b")
     tested = written(near.mapInArrow(_close(most, percent), "a binary, b binary"), "tested")
     edges = written(linked(tested), "edges")
     comps = components(edges)
-    # keys whose nodes are still in several components
-    named = buckets.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
-    rest = named.join(split, "key").join(nodes.select("node", "n", "sig"), "node")
-    blocks = F.ceil(F.col("members") / _BLOCK).cast("int")
-    rest = rest.withColumn("of", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    # families, that is all nodes that share keys with one centre, whose nodes are still in several components
+    named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = named.groupBy("centre").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("centre", "members")
+    rest = named.join(split, "centre").join(nodes.select("node", "n", "sig"), "node").join(sets, "node")
+    rest = rest.withColumn("of", F.ceil(F.col("members") / _BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    rest = rest.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "node", "comp", "n", "sig")
-    cross = rest.groupBy("key", "i", "j").applyInArrow(_cross(most, percent), "a binary, b binary")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(linked(cross), "edges")
+    rest = rest.select("centre", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "node", "comp", "n", "sig", "shingles")
+    more = written(rest.groupBy("centre", "i", "j").applyInArrow(_family(most, percent), "a binary, b binary"), "edges")
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     comps = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("node", "comp", "rep")
