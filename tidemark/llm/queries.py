@@ -14,6 +14,7 @@ from tidemark.llm.pieces import piece_report
 from tidemark.llm.quality import fit, held_out, with_scores
 from tidemark.llm.secrets import RULES, secret_report
 from tidemark.llm.shared import table
+from tidemark.llm.suffixes import span_report
 from tidemark.llm.templates import leaks
 from tidemark.llm.tokens import token_records
 from tidemark.llm.warc import capture_report
@@ -53,6 +54,10 @@ def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_report(table(spark, sf_dir, "pages"), least=1000)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"), length=100)
+
+
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc_captures": op6_warc_captures,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_votes": op8_quality_votes,
     "op9_media_columns": op9_media_columns,
     "op10_template_leaks": op10_template_leaks,
