@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import chunks, scratch_path
+from tidemark.llm.shared import chunks, scratch_path, written
 
 _DATE = "2020-01-01T00:00:00Z"
 _RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, page_id long, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
@@ -217,5 +217,6 @@ def capture_report(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes, reads back and assembles: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    rows = transactions(read_archives(spark, folder, write_archives(pages, folder, least), with_payload=False))
+    # a table: read once, and of a known size when joins are planned
+    rows = transactions(written(read_archives(spark, folder, write_archives(pages, folder, least), with_payload=False), "records"))
     return rows.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("original").alias("refers_to"))
