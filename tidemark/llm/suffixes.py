@@ -39,7 +39,7 @@ from tidemark.llm.shared import buffer_of, chunks, keyed, written
 GRAM = 24
 BITS = 1 << 28
 HOT = 20_000
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _LOW = np.uint64((1 << 31) - 1)
 _FIRST = np.iinfo(np.int64).min
 
