@@ -382,16 +382,8 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidate_pairs(rest, least=0.35).withColumn("score", F.round("score", 9))
 
 
-@query("with recursive" + PAIRS + """, listed as (
-  select a_id, b_id, score, row_number() over (order by score desc, a_id, b_id) as k from scored where score >= 0.8
-), walk as (
-  select 0::bigint as k, []::varchar[] as taken, false as picked, ''::varchar as a_id, ''::varchar as b_id, 0.0::double as score
-  union all
-  select l.k, case when not list_has_any(w.taken, [l.a_id, l.b_id]) then list_concat(w.taken, [l.a_id, l.b_id]) else w.taken end, not list_has_any(w.taken, [l.a_id, l.b_id]), l.a_id, l.b_id, l.score
-  from walk w join listed l on l.k = w.k + 1
-) select a_id, b_id, round(score, 9) as score from walk where picked""")
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-02 over the pairs with a score of 0.8 and more."""
+    """SRT-02 over the pairs with a score of 0.8 and more. tests/ compare it with a sequential choice."""
     rows = matching.cut(matching.normalized(instruments(spark, sf_dir)))
     rest = rows.join(matching.rule_pass(rows).select(F.explode("legs").alias("id")), "id", "left_anti")
     return matching.greedy_pairs(matching.candidate_pairs(rest, least=0.8)).withColumn("score", F.round("score", 9))
@@ -405,7 +397,7 @@ def matching_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("match_id", T.legs_key(F.col("legs")).alias("legs"), "confidence", "method", "status", "note", "outcome")
 
 
-QUERIES["matching_pass"] = matching_pass
+QUERIES |= {"greedy_matches": greedy_matches, "matching_pass": matching_pass}
 
 
 @query("""with recursive hashed(n, h, key) as (
