@@ -20,7 +20,7 @@ def _parsed(lines: DataFrame, number) -> DataFrame:
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames in file order; blank lines are skipped, a malformed one fails with its number. Order comes from the place of
     the line in a file read whole by one task, so record long sessions as several files with rising names."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     first = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
