@@ -7,6 +7,7 @@ import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass
 
 
+# fixed values: the defaults that users of such an engine expect
 @dataclass
 class Divergence:
     threshold: str = "0.03"
