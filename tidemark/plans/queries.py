@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import prices as P
 from tidemark.functions import titles as T
 from tidemark.operators import book, divergence, matching, metrics, policies, views
-from tidemark.sources import sinks
 from tidemark.sources.frames import event_matches, event_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
