@@ -60,7 +60,7 @@ _BITS = np.array([0] + [k.bit_length() for k in range(1, 512)])
 _TABLES = _segment(0xDB, bytes([0] + [1] * 64)), _segment(0xC4, b"\x00" + _DC_BODY) + _segment(0xC4, b"\x10" + _AC_BODY) + _segment(0xDD, struct.pack(">H", _EACH)) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
 
 
-def _place(total: np.ndarray, blocks: int) -> tuple[int, int]:
+def _place(blocks: int) -> tuple[int, int]:
     columns = min(blocks, max(_COLUMNS, -(-blocks // _MOST)))
     if columns > _MOST:
         raise ValueError("the payload is beyond the largest picture")
@@ -70,7 +70,7 @@ def _place(total: np.ndarray, blocks: int) -> tuple[int, int]:
 def encode(payloads: list[np.ndarray]) -> list[bytes]:
     """One file for each payload, whose length is a positive multiple of 64."""
     blocks = [len(p) // 64 for p in payloads]
-    dims = [_place(None, b) for b in blocks]
+    dims = [_place(b) for b in blocks]
     sizes = np.array([w * h for w, h in dims])
     first = np.cumsum(sizes) - sizes
     total = int(sizes.sum())

@@ -109,8 +109,8 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(buffer_of(column)[0].tobytes(), kind).reshape(-1, width)
 
 
-def _close(most: int, percent: int):
-    """Pairs (a, b) whose sizes and signatures allow the similarity."""
+def _close(most: int):
+    """Pairs (a, b) whose signatures allow the similarity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     stars = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     near = sides(stars, nodes, "n", "sig").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "sig_a", "sig_b")
-    tested = written(near.mapInArrow(_close(most, percent), "a binary, b binary"), "tested")
+    tested = written(near.mapInArrow(_close(most), "a binary, b binary"), "tested")
     edges = written(linked(tested), "edges")
     comps = components(edges)
     # families, that is all nodes that share keys with one centre, whose nodes are still in several components
