@@ -170,6 +170,35 @@ def test_greedy(spark):
     assert {tuple(r) for r in matching.greedy_pairs(df).collect()} == want
 
 
+def test_greedy_matches_query(spark, tmp_path):
+    """The registered query against scores and a sequential choice in plain Python, down to the shortlist's 0.35."""
+    from tidemark.plans import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(90).write.parquet(f"{tmp_path}/part.parquet")
+    rows = matching.normalized(queries.instruments(spark, str(tmp_path)))
+    exact = {i for r in matching.rule_pass(rows).collect() for i in r.legs}
+    rest = sorted((r for r in rows.collect() if r.id not in exact), key=lambda r: r.id)
+    share = lambda x, y: len(set(x or ()) & set(y or ())) / max(len(set(x or ()) | set(y or ())), 1)
+    clash = lambda x, y: bool(x) and bool(y) and not set(x) & set(y)
+    pairs = []
+    for n, a in enumerate(rest):
+        for b in rest[n + 1 :]:
+            timed = a.close_time is not None and b.close_time is not None
+            if a.venue == b.venue or clash(a.dates, b.dates) or clash(a.thresholds, b.thresholds) or timed and abs((a.close_time - b.close_time).total_seconds()) > 48 * 3600:
+                continue
+            score = share(a.combined, b.combined)
+            if a.description is not None and b.description is not None:
+                score = score * 0.7 + share(a.d_combined, b.d_combined) * 0.3
+            pairs.append((-score * (1.0 if timed else 0.85), a.id, b.id))
+    taken, want = set(), set()
+    for s, a, b in sorted(p for p in pairs if p[0] <= -0.35):
+        if not taken & {a, b}:
+            taken |= {a, b}
+            want.add((a, b, round(-s, 9)))
+    got = {tuple(r) for r in queries.greedy_matches(spark, str(tmp_path)).collect()}
+    assert got == want and min(s for *_, s in want) < 0.55 and any(0.55 <= s < 0.8 for *_, s in want)
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)

@@ -382,10 +382,10 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-02 over the pairs with a score of 0.8 and more. tests/ compare it with a sequential choice."""
+    """G11, FLT-13, SRT-02: one-to-one choice over all pairs of the shortlist. tests/ compare it with a sequential choice."""
     rows = matching.cut(matching.normalized(instruments(spark, sf_dir)))
     rest = rows.join(matching.rule_pass(rows).select(F.explode("legs").alias("id")), "id", "left_anti")
-    return matching.greedy_pairs(matching.candidate_pairs(rest, least=0.8)).withColumn("score", F.round("score", 9))
+    return matching.greedy_pairs(matching.candidate_pairs(rest, least=0.35)).withColumn("score", F.round("score", 9))
 
 
 def matching_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
