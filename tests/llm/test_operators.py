@@ -303,6 +303,24 @@ def test_templates(spark, none):
     assert templates.leaks(none, items).count() == 0 and templates.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_templates_opening_names_and_joined_units(spark):
+    items = spark.createDataFrame([
+        (1, "Tom has 5 red apples in his bag. Tom gives 2 of them to the old teacher and eats the rest."),
+        (2, "the runner covered 5km before 10am and finished 3rd while the prize of $6k went to charity"),
+        (3, "The box holds 4 pens for each pupil. The shelf holds 9 books which nobody ever wanted to read at home"),
+    ], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "Peter has 7 red apples in his bag. Peter gives 3 of them to the old teacher and eats the rest."),
+        (11, "Here Peter has 7 red apples in his bag. Peter gives 3 of them to the old teacher and eats the rest."),
+        (12, "Peter has 7 red apples in his bag. Mary gives 3 of them to the old teacher and eats the rest."),
+        (13, "the runner covered 8mi before 11pm and finished 4th while the prize of $9k went to charity"),
+        (14, "A box holds 6 pens for each pupil. The shelf holds 8 books which nobody ever wanted to read at home"),
+    ], "doc_id long, text string")
+    for small in (4_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.kind for r in templates.leaks(docs, items, small=small).collect()}
+        assert got == {(10, 1): "changed", (11, 1): "changed", (13, 2): "changed", (14, 3): "changed"}
+
+
 def test_media(docs, none, odd, rows):
     got = {r.doc_id: r for r in jpeg.media_report(jpeg.with_media(docs)).collect()}
     for n, t in rows:

@@ -1,12 +1,15 @@
 """Benchmark decontamination by templates.
 
-Words are compared without signs at their ends and in lower case. Numbers (digits, or a number word), names (a capital
-first letter inside a sentence) and units (a unit's word after a number) become typed placeholders; their words are the
-slots. A window is ``size`` template words with at least two that are no placeholder.
+Words are compared without signs at their ends and in lower case; a number with letters after it ("5km", "3rd") is two words.
+Numbers (digits, or a number word), names (a capital first letter inside a sentence) and units (a unit's word after a
+number, or letters joined to it) become typed placeholders; their words are the slots. A capitalised word that opens a text,
+sentence or line may be a name or not: its windows are made both ways. A window is ``size`` template words with at least
+two that are no placeholder.
 Document windows and item windows are joined by hash. Matches of a document and an item with the same shift between their
 positions form a run; a run counts if its slots are consistent: equal words of the item always stand for equal words of the
-document. An item is leaked if the windows of counting runs cover at least ``percent`` of its windows: ``verbatim`` where all
-slots are as in the item, else ``changed`` (the same question with other values).
+document. Opening words don't decide on the run: only windows that take an inconsistent one for a name are left out.
+An item is leaked if the windows of counting runs cover at least ``percent`` of its windows: ``verbatim`` where each of
+these is also found with all slots as in the item, else ``changed`` (the same question with other values).
 
 Plan: the hashes of the items' windows are broadcast where there are at most ``small`` of them (8 bytes each), and
 documents emit matching windows only, with one narrow pass over the texts; beyond that bound all windows are joined by a
@@ -33,6 +36,7 @@ from tidemark.llm.shared import buffer_of, chunks, keyed
 # fixed values
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams pound pounds ounce ounces ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half"
+SUFFIXES = "am pm k st nd rd th"
 
 _NUM, _NAME, _UNIT = (int(x) for x in _numbers(21, 3))
 _LETTER = np.zeros(256, bool)
@@ -53,8 +57,8 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def template(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: template hash, whether it is a slot, row, start and stop without signs at the ends."""
+def template(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per word: template hash, whether it is a slot, whether it may be a name too, row, start and stop without signs at the ends."""
     starts, stops, rows = words(data, ends)
     good = np.flatnonzero(_LETTER[data] | _DIGIT[data])
     low, high = np.searchsorted(good, starts), np.searchsorted(good, stops)
@@ -62,43 +66,58 @@ def template(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     raw_start, raw_stop, rows, low, high = starts[full], stops[full], rows[full], low[full], high[full]
     if not len(rows):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(bool), none, none, none
+        return none.astype(np.uint64), none.astype(bool), none.astype(bool), none, none, none
     start, stop = good[low], good[high - 1] + 1
-    text = lowered(data)
-    value = Prefix(text).of(start, stop)
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    number = (letters[stop] == letters[start]) | _among(value, _known(NUMBERS))
     first = np.append(True, rows[1:] != rows[:-1])
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     opens = first.copy()
     opens[1:] |= _STOP[data[raw_stop[:-1] - 1]] | (lines[raw_start[1:]] != lines[raw_stop[:-1]])
+    # a number and the letters after it are two words
+    letters, digits = (np.concatenate([[0], np.cumsum(kind[data])]) for kind in (_LETTER, _DIGIT))
+    at = np.append(np.flatnonzero(_LETTER[data]), len(data))
+    letter = np.minimum(at[np.searchsorted(at, start)], stop)
+    parts = _DIGIT[data[start]] & (letter < stop) & (digits[stop] == digits[letter])
+    each = np.repeat(np.arange(len(rows)), 1 + parts)
+    joined = np.append(False, each[1:] == each[:-1])
+    head = parts[each] & ~joined
+    number_stop = good[np.searchsorted(good, letter) - 1] + 1
+    start, stop = np.where(joined, letter[each], start[each]), np.where(head, number_stop[each], stop[each])
+    rows, first, opens = rows[each], first[each] & ~joined, opens[each] & ~joined
+    text = lowered(data)
+    value = Prefix(text).of(start, stop)
+    number = (letters[stop] == letters[start]) | _among(value, _known(NUMBERS))
     upper = (data[start] >= 65) & (data[start] <= 90) & (stop - start > 1) & (data[np.minimum(start + 1, len(data) - 1)] >= 97)
-    name = upper & ~opens & ~number
-    unit = np.zeros(len(rows), bool)
-    unit[1:] = number[:-1] & ~first[1:] & _among(value[1:], _known(UNITS))
+    name = upper & ~opens & ~number & ~joined
+    unit = joined & ~number
+    unit[1:] |= number[:-1] & ~first[1:] & _among(value[1:], _known(f"{UNITS} {SUFFIXES}"))
     for mask, kind in ((number, _NUM), (name, _NAME), (unit, _UNIT)):
         value = np.where(mask, np.uint64(kind), value)
-    return value, number | name | unit, rows, start, stop
+    return value, number | name | unit, upper & opens & ~number & ~unit, rows, start, stop
 
 
-def windows(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Hash, row and first word of each window, and the words."""
-    value, slot, rows, start, stop = template(data, ends)
+def windows(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Hash, row and first word of each window, the bits of its opening words that are taken for names, and the words."""
+    value, slot, maybe, rows, start, stop = template(data, ends)
     odd = _numbers(22, size) | np.uint64(1)
     n = len(value) - size + 1
-    found, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sums, at, chosen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n > 0:
         sums = np.zeros(n, np.uint64)
         for k in range(size):
             sums += value[k : k + n] * odd[k]
         slots = np.concatenate([[0], np.cumsum(slot)])
-        at = np.flatnonzero((rows[:n] == rows[size - 1 :]) & (slots[size:] - slots[:-size] <= size - 2))
-        found = mix(sums[at])
-    return found, rows[at], at, (slot, rows, start, stop)
+        held = slots[size:] - slots[:-size]
+        at = np.flatnonzero((rows[:n] == rows[size - 1 :]) & (held <= size - 2))
+        sums, held, chosen = sums[at], held[at], np.zeros(len(at), np.int64)
+        for k in range(size):
+            more = np.flatnonzero(maybe[at + k] & (held < size - 2))
+            other = sums[more] + (np.uint64(_NAME) - value[at[more] + k]) * odd[k]
+            sums, at, held, chosen = (np.concatenate([x, y]) for x, y in ((sums, other), (at, at[more]), (held, held[more] + 1), (chosen, chosen[more] | 1 << k)))
+    return mix(sums), rows[at], at, chosen, (slot, rows, start, stop)
 
 
 def _emit(size: int, id_column: str, wanted: np.ndarray | None):
-    """Rows (id, tag, hash, pos, slots) of all windows, or of those in the sorted hashes ``wanted``."""
+    """Rows (id, tag, hash, pos, slots, open) of all windows, or of those in the sorted hashes ``wanted``."""
     marks = None
     if wanted is not None:
         marks = np.zeros(1 << 22, bool)
@@ -107,30 +126,33 @@ def _emit(size: int, id_column: str, wanted: np.ndarray | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, ends = buffer_of(batch.column("text"))
-            found, row, at, (slot, owner, start, stop) = windows(data, ends, size)
+            found, row, at, chosen, (slot, owner, start, stop) = windows(data, ends, size)
             if wanted is not None and len(found):
                 ok = np.flatnonzero(marks[found & np.uint64(len(marks) - 1)])
                 ok = ok[_among(found[ok], wanted)] if len(wanted) else ok[:0]
-                found, row, at = found[ok], row[ok], at[ok]
+                found, row, at, chosen = found[ok], row[ok], at[ok], chosen[ok]
             first = np.searchsorted(owner, row)
             has = np.concatenate([[0], np.cumsum(slot)])
             slots: list[list[str]] = [[]] * len(at)
-            for i in np.flatnonzero(has[at + size] > has[at]).tolist():
-                slots[i] = [data[start[w] : stop[w]].tobytes().decode(errors="replace").lower() for w in range(at[i], at[i] + size) if slot[w]]
+            opens: list[list[bool]] = [[]] * len(at)
+            for i in np.flatnonzero((has[at + size] > has[at]) | (chosen > 0)).tolist():
+                taken = [(w, bool(chosen[i] >> k & 1)) for k, w in enumerate(range(at[i], at[i] + size)) if slot[w] or chosen[i] >> k & 1]
+                slots[i] = [data[start[w] : stop[w]].tobytes().decode(errors="replace").lower() for w, _ in taken]
+                opens[i] = [o for _, o in taken]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(take), batch.column("tag").take(take), pa.array(found.view(np.int64)), pa.array((at - first).astype(np.int32)), pa.array(slots, pa.list_(pa.string()))], names=["id", "tag", "hash", "pos", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(take), batch.column("tag").take(take), pa.array(found.view(np.int64)), pa.array((at - first).astype(np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.bool_()))], names=["id", "tag", "hash", "pos", "slots", "open"])
 
     return rows
 
 
-_WINDOW = "id long, tag int, hash long, pos int, slots array<string>"
+_WINDOW = "id long, tag int, hash long, pos int, slots array<string>, open array<boolean>"
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, small: int = 4_000_000) -> DataFrame:
     """One row per leaked item and document: doc_id, tag, item_id, n_windows, item_windows, kind."""
     spark = docs.sparkSession
     ours = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text")).transform(keyed)
-    ours = ours.mapInArrow(_emit(size, "doc_id", None), _WINDOW).select(F.col("id").alias("item_id"), F.col("hash"), F.col("pos").alias("at"), F.col("slots").alias("own")).distinct()
+    ours = ours.mapInArrow(_emit(size, "doc_id", None), _WINDOW).select(F.col("id").alias("item_id"), F.col("hash"), F.col("pos").alias("at"), F.col("slots").alias("own"), F.col("open").alias("own_open")).distinct()
     totals = ours.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
     wanted = None
     few = ours.select("hash").distinct().limit(small + 1).toArrow().column("hash").to_numpy()
@@ -143,10 +165,16 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, s
 
     theirs = keyed(docs).mapInArrow(emit, _WINDOW).withColumnRenamed("id", "doc_id")
     pair = theirs.join(ours, "hash").withColumn("shift", F.col("pos") - F.col("at"))
-    pair = pair.withColumn("words", F.arrays_zip("own", "slots"))
-    run = pair.groupBy("doc_id", "tag", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-    run = run.where(F.size(F.array_distinct(F.transform("words", lambda w: w["own"]))) == F.size("words"))
-    run = run.withColumn("same", F.forall("words", lambda w: w["own"].eqNullSafe(w["slots"])))
-    found = run.groupBy("doc_id", "tag", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.min("same").alias("same"))
+    pair = pair.withColumn("words", F.transform(F.arrays_zip("own", "slots", "own_open", "open"), lambda w: F.struct(w["own"].alias("own"), w["slots"].alias("slots"), (w["own_open"] | w["open"]).alias("open"))))
+    run = pair.groupBy("doc_id", "tag", "item_id", "shift").agg(F.collect_set(F.struct("at", "words")).alias("matched"))
+    run = run.withColumn("words", F.array_distinct(F.flatten(F.col("matched.words"))))
+    plain = lambda words: F.array_sort(F.array_distinct(F.transform(words, lambda w: F.struct(w["own"], w["slots"]))))
+    run = run.withColumn("sure", plain(F.filter("words", lambda w: ~w["open"]))).withColumn("all", plain(F.col("words")))
+    run = run.withColumn("unlike", F.filter("all", lambda p, n: (n > 0) & (F.get("all", n - 1)["own"] == p["own"]))["own"])
+    run = run.where(F.size(F.array_distinct(F.col("sure.own"))) == F.size("sure"))
+    each = run.select("doc_id", "tag", "item_id", "unlike", F.explode("matched").alias("m")).select("doc_id", "tag", "item_id", "m.at", "m.words", "unlike")
+    each = each.withColumn("same", F.forall("words", lambda w: w["own"] == w["slots"]))
+    each = each.where(~F.exists("words", lambda w: w["open"] & F.array_contains("unlike", w["own"])))
+    found = each.groupBy("doc_id", "tag", "item_id").agg(F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.size(F.collect_set(F.when(F.col("same"), F.col("at")))).alias("n_same"))
     found = found.join(totals, "item_id").where(F.col("n_windows") * 100 >= F.col("item_windows") * percent)
-    return found.select("doc_id", "tag", "item_id", "n_windows", "item_windows", F.when(F.col("same"), "verbatim").otherwise("changed").alias("kind"))
+    return found.select("doc_id", "tag", "item_id", "n_windows", "item_windows", F.when(F.col("n_same") == F.col("n_windows"), "verbatim").otherwise("changed").alias("kind"))
