@@ -321,6 +321,15 @@ def test_templates_opening_names_and_joined_units(spark):
         assert got == {(10, 1): "changed", (11, 1): "changed", (13, 2): "changed", (14, 3): "changed"}
 
 
+def test_templates_verbatim_windows_of_an_inconsistent_run(spark):
+    long = "in 1990 the small town by the river built a bridge of stone and steel and opened a school for all of the children who lived on either side of the water until the flood came again in {} and took it"
+    items = spark.createDataFrame([(1, long.format(1990)), (2, "each 1990 copy of a 1990 book and each 1990 print")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, long.format(1991)), (11, "each 1990 copy of a 1991 book and each 1992 print")], "doc_id long, text string")
+    for small in (4_000_000, 0):
+        got = [(r.doc_id, r.item_id, r.item_windows - r.n_windows, r.kind) for r in templates.leaks(docs, items, small=small).collect()]
+        assert got == [(10, 1, 4, "verbatim")]
+
+
 def test_media(docs, none, odd, rows):
     got = {r.doc_id: r for r in jpeg.media_report(jpeg.with_media(docs)).collect()}
     for n, t in rows:

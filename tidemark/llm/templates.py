@@ -6,9 +6,10 @@ number, or letters joined to it) become typed placeholders; their words are the
 sentence or line may be a name or not: its windows are made both ways. A window is ``size`` template words with at least
 two that are no placeholder.
 Document windows and item windows are joined by hash. Matches of a document and an item with the same shift between their
-positions form a run; a run counts if its slots are consistent: equal words of the item always stand for equal words of the
-document. Opening words don't decide on the run: only windows that take an inconsistent one for a name are left out.
-An item is leaked if the windows of counting runs cover at least ``percent`` of its windows: ``verbatim`` where each of
+positions form a run. Windows with all slots as in the item always count; the others count if the run's slots are
+consistent: equal words of the item always stand for equal words of the document. Opening words don't decide on the run:
+only changed windows that take an inconsistent one for a name are left out.
+An item is leaked if the windows that count cover at least ``percent`` of its windows: ``verbatim`` where each of
 these is also found with all slots as in the item, else ``changed`` (the same question with other values).
 
 Plan: the hashes of the items' windows are broadcast where there are at most ``small`` of them (8 bytes each), and
@@ -171,10 +172,10 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, s
     plain = lambda words: F.array_sort(F.array_distinct(F.transform(words, lambda w: F.struct(w["own"], w["slots"]))))
     run = run.withColumn("sure", plain(F.filter("words", lambda w: ~w["open"]))).withColumn("all", plain(F.col("words")))
     run = run.withColumn("unlike", F.filter("all", lambda p, n: (n > 0) & (F.get("all", n - 1)["own"] == p["own"]))["own"])
-    run = run.where(F.size(F.array_distinct(F.col("sure.own"))) == F.size("sure"))
-    each = run.select("doc_id", "tag", "item_id", "unlike", F.explode("matched").alias("m")).select("doc_id", "tag", "item_id", "m.at", "m.words", "unlike")
+    run = run.withColumn("steady", F.size(F.array_distinct(F.col("sure.own"))) == F.size("sure"))
+    each = run.select("doc_id", "tag", "item_id", "steady", "unlike", F.explode("matched").alias("m")).select("doc_id", "tag", "item_id", "m.at", "m.words", "steady", "unlike")
     each = each.withColumn("same", F.forall("words", lambda w: w["own"] == w["slots"]))
-    each = each.where(~F.exists("words", lambda w: w["open"] & F.array_contains("unlike", w["own"])))
+    each = each.where(F.col("same") | F.col("steady") & ~F.exists("words", lambda w: w["open"] & F.array_contains("unlike", w["own"])))
     found = each.groupBy("doc_id", "tag", "item_id").agg(F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.size(F.collect_set(F.when(F.col("same"), F.col("at")))).alias("n_same"))
     found = found.join(totals, "item_id").where(F.col("n_windows") * 100 >= F.col("item_windows") * percent)
     return found.select("doc_id", "tag", "item_id", "n_windows", "item_windows", F.when(F.col("n_same") == F.col("n_windows"), "verbatim").otherwise("changed").alias("kind"))
