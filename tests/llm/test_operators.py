@@ -330,6 +330,17 @@ def test_templates_verbatim_windows_of_an_inconsistent_run(spark):
         assert got == [(10, 1, 4, "verbatim")]
 
 
+def test_templates_items_of_placeholders_or_few_words(spark):
+    items = spark.createDataFrame([(1, "Compute 12 + 7 * 3 - 4"), (2, "Name Zanzibar's capital"), (3, "Xylem?"), (4, "sold 3 kg 4 kg 5 kg 6 kg on 7 days and then went home")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "Q. compute 12 + 7 * 3 - 4 now"), (11, "Compute 12 + 8 * 3 - 4"), (12, "Please name Zanzibar's capital."), (13, "name the capital"), (14, "the xylem"), (15, "xylems"),
+        (16, "sold 3 kg 4 kg 5 kg 6 kg on 7 days and then went home"), (17, "sold 13 kg 14 kg 15 kg 16 kg on 17 days and then went home"), (18, None), (19, ""),
+    ], "doc_id long, text string")
+    for small in (4_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.kind for r in templates.leaks(docs, items, small=small).collect()}
+        assert got == {(10, 1): "verbatim", (12, 2): "verbatim", (14, 3): "verbatim", (16, 4): "verbatim", (17, 4): "changed"}
+
+
 def test_media(docs, none, odd, rows):
     got = {r.doc_id: r for r in jpeg.media_report(jpeg.with_media(docs)).collect()}
     for n, t in rows:
