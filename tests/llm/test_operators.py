@@ -341,6 +341,15 @@ def test_templates_items_of_placeholders_or_few_words(spark):
         assert got == {(10, 1): "verbatim", (12, 2): "verbatim", (14, 3): "verbatim", (16, 4): "verbatim", (17, 4): "changed"}
 
 
+def test_templates_null_and_shared_item_ids(spark):
+    a, b = "the quick stone rolled under seven green hills beside a very old river", "a grey heron stood near that low bridge and looked for frogs in the reeds all through the long wet morning"
+    items = spark.createDataFrame([(None, a), (5, a), (5, b), (5, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, b), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.n_windows, r.item_windows) for r in templates.leaks(docs, items).collect())
+    assert got == [(0, 0, 9, 9), (0, 5, 9, 9), (1, 0, 9, 9), (1, 5, 9, 9), (2, 5, 17, 17)]
+    assert stages.drop_leaked(docs, items.where("item_id is null")).count() == 1
+
+
 def test_media(docs, none, odd, rows):
     got = {r.doc_id: r for r in jpeg.media_report(jpeg.with_media(docs)).collect()}
     for n, t in rows:

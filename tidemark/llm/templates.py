@@ -20,7 +20,8 @@ shuffle. Either way the rest is keyed by (document, item).
 
 Defined cases: texts and items that are null or have no words can't be found or leak; an item of fewer than ``size`` words, or
 of placeholders mainly, is found by its own words only, signs aside (an item of one word in every text with that word);
-rows that repeat a text are each reported once by (doc_id, tag); an empty table on either side gives no rows; other
+rows that repeat a text are each reported once by (doc_id, tag); items are told apart by item_id, which may be null, and text, so a
+shared item_id can give a row for each of its texts; an empty table on either side gives no rows; other
 columns are ignored.
 """
 
@@ -175,8 +176,8 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, s
     """One row per leaked item and document: doc_id, tag, item_id, n_windows, item_windows, kind."""
     spark = docs.sparkSession
     ours = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text")).transform(keyed)
-    ours = ours.mapInArrow(_emit(size, "doc_id", None), _WINDOW).select(F.col("id").alias("item_id"), F.col("hash"), F.col("pos").alias("at"), F.col("n"), F.col("fit"), F.col("slots").alias("own"), F.col("open").alias("own_open")).distinct()
-    totals = ours.groupBy("item_id").agg(F.countDistinct("at").alias("places"), F.countDistinct(F.when(F.col("fit"), F.col("at"))).alias("fit_places"))
+    ours = ours.mapInArrow(_emit(size, "doc_id", None), _WINDOW).select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), F.col("hash"), F.col("pos").alias("at"), F.col("n"), F.col("fit"), F.col("slots").alias("own"), F.col("open").alias("own_open")).distinct()
+    totals = ours.groupBy(F.col("item_id").alias("_id"), F.col("item_tag").alias("_tag")).agg(F.countDistinct("at").alias("places"), F.countDistinct(F.when(F.col("fit"), F.col("at"))).alias("fit_places"))
     wanted = None
     hashes = ours.select("hash", "n").distinct().limit(small + 1).toArrow()
     if len(hashes) <= small:
@@ -193,18 +194,18 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, s
     theirs = keyed(docs).mapInArrow(emit, _WINDOW).withColumnRenamed("id", "doc_id").drop("n", "fit")
     pair = theirs.join(ours, "hash").withColumn("shift", F.col("pos") - F.col("at"))
     pair = pair.withColumn("words", F.transform(F.arrays_zip("own", "slots", "own_open", "open"), lambda w: F.struct(w["own"].alias("own"), w["slots"].alias("slots"), (w["own_open"] | w["open"]).alias("open"))))
-    run = pair.groupBy("doc_id", "tag", "item_id", "shift").agg(F.collect_set(F.struct("at", "fit", "words")).alias("matched"))
+    run = pair.groupBy("doc_id", "tag", "item_id", "item_tag", "shift").agg(F.collect_set(F.struct("at", "fit", "words")).alias("matched"))
     run = run.withColumn("words", F.array_distinct(F.flatten(F.col("matched.words"))))
     plain = lambda words: F.array_sort(F.array_distinct(F.transform(words, lambda w: F.struct(w["own"], w["slots"]))))
     run = run.withColumn("sure", plain(F.filter("words", lambda w: ~w["open"]))).withColumn("all", plain(F.col("words")))
     run = run.withColumn("unlike", F.filter("all", lambda p, n: (n > 0) & (F.get("all", n - 1)["own"] == p["own"]))["own"])
     run = run.withColumn("steady", F.size(F.array_distinct(F.col("sure.own"))) == F.size("sure"))
-    each = run.select("doc_id", "tag", "item_id", "steady", "unlike", F.explode("matched").alias("m")).select("doc_id", "tag", "item_id", "m.at", "m.fit", "m.words", "steady", "unlike")
+    each = run.select("doc_id", "tag", "item_id", "item_tag", "steady", "unlike", F.explode("matched").alias("m")).select("doc_id", "tag", "item_id", "item_tag", "m.at", "m.fit", "m.words", "steady", "unlike")
     each = each.withColumn("same", F.forall("words", lambda w: w["own"] == w["slots"]))
     each = each.where(F.col("same") | F.col("steady") & ~F.exists("words", lambda w: w["open"] & F.array_contains("unlike", w["own"])))
     places = lambda name, *of: F.size(F.collect_set(F.when(functools.reduce(lambda x, y: x & y, map(F.col, of), F.lit(True)), F.col("at")))).cast("long").alias(name)
-    found = each.groupBy("doc_id", "tag", "item_id").agg(places("n"), places("n_same", "same"), places("n_fit", "fit"), places("n_fit_same", "fit", "same"))
-    found = found.join(totals, "item_id").withColumn("by_fit", (F.col("n_fit") > 0) & (F.col("n_fit") * 100 >= F.col("fit_places") * percent))
+    found = each.groupBy("doc_id", "tag", "item_id", "item_tag").agg(places("n"), places("n_same", "same"), places("n_fit", "fit"), places("n_fit_same", "fit", "same"))
+    found = found.join(totals, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item_tag") == F.col("_tag"))).withColumn("by_fit", (F.col("n_fit") > 0) & (F.col("n_fit") * 100 >= F.col("fit_places") * percent))
     found = found.where(F.col("by_fit") | (F.col("n") * 100 >= F.col("places") * percent))
     pick = lambda fit, all_: F.when(F.col("by_fit"), F.col(fit)).otherwise(F.col(all_))
     found = found.select("doc_id", "tag", "item_id", pick("n_fit", "n").alias("n_windows"), pick("fit_places", "places").alias("item_windows"), pick("n_fit_same", "n_same").alias("n_same"))
