@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOW = 1 << 12
+_BLOCK = 64 * _LOW
 
 
 def _numbers(seed: int, n: int) -> np.ndarray:
@@ -23,20 +24,20 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps))
-        have = tuple(both)
-        if size <= 8 << 20:
-            _POWERS[which] = have
-    return have
+def _steps(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+#: Powers 0 to _LOW - 1 of each base and of its inverse; higher ones are products of these and of powers of base**_LOW.
+_POWERS = tuple(tuple(_steps(b, _LOW) for b in (base, pow(base, -1, 1 << 64))) for base in _BASES)
+
+
+def _high(which: int, inverse: bool, n: int) -> np.ndarray:
+    """Powers of base**_LOW that reach place ``n``."""
+    base = _BASES[which]
+    return _steps(pow(pow(base, -1, 1 << 64) if inverse else base, _LOW, 1 << 64), n // _LOW + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,12 +60,22 @@ class Prefix:
 
     def __init__(self, data: np.ndarray, which: int = 0):
         self.which, n = which, len(data)
-        up, self.down = _powers(which, n + 1)
+        up, self.down = _high(which, False, n), _high(which, True, n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[which][data] * up[:n], out=self.sums[1:])
+        for at in range(0, n, _BLOCK):
+            part = data[at : at + _BLOCK]
+            high = up[at // _LOW : at // _LOW + -(-len(part) // _LOW)]
+            weight = (high[:, None] * _POWERS[which][0]).ravel()[: len(part)]
+            weight *= _BYTES[which][part]
+            np.cumsum(weight, out=weight)
+            np.add(weight, self.sums[at], out=self.sums[at + 1 : at + 1 + len(part)])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        out = self.sums[ends] - self.sums[starts]
+        out *= self.down[starts >> 12]
+        out *= _POWERS[self.which][1][starts & (_LOW - 1)]
+        out += (ends - starts).astype(np.uint64)
+        return mix(out)
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

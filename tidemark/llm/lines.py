@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytehash import SPACE, Prefix, lowered
-from tidemark.llm.shared import buffer_of, chunks, documents, keyed, written
+from tidemark.llm.shared import buffer_of, chunks, keyed, tidy, written
 
-_LINE = "h1 long, h2 long, doc_id long, tag int, pos int"
-_MARK = "kind int, h1 long, h2 long, doc_id long, tag int, pos int, n long"
+_LINE = "h1 long, h2 long, doc_id long, tag long, pos int"
+_MARK = "kind int, h1 long, h2 long, doc_id long, tag long, pos int, n long"
 
 
 def _line_rows(min_chars: int):
@@ -159,11 +159,11 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     """One row (doc_id, tag, pos) per line to drop; ``tag`` tells rows with the same doc_id apart."""
     if keep not in ("none", "first"):
         raise ValueError(keep)
-    lines = written(keyed(docs).mapInArrow(_line_rows(min_chars), _LINE), "lines")
+    lines = written(keyed(docs).mapInArrow(tidy(_line_rows(min_chars)), _LINE), "lines")
     order = ["h1", "h2", "doc_id", "tag", "pos"]
     first_stays = keep == "first"
     dealt = lines.repartitionByRange("h1", "h2", "doc_id", "tag").sortWithinPartitions(*order)
-    marks = written(dealt.mapInArrow(lambda batches: _Runs(min_docs, first_stays)(batches), _MARK), "marks")
+    marks = written(dealt.mapInArrow(tidy(lambda batches: _Runs(min_docs, first_stays)(batches)), _MARK), "marks")
     lead = F.struct("doc_id", "tag", "pos")
     # at most two rows a task: small whatever the lines hold
     totals = F.broadcast(marks.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min(lead).alias("lead")).where(F.col("docs") >= min_docs))
@@ -177,7 +177,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     past its end stay. Documents that aren't listed stay whole. A row's positions are gathered per document, so memory
     follows the longest document."""
     places = dropped_lines(docs, min_docs, min_chars, keep).groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("places"))
-    return places.mapInArrow(_bitmaps, "doc_id long, tag int, keep binary")
+    return places.mapInArrow(tidy(_bitmaps), "doc_id long, tag long, keep binary")
 
 
 def kept_text(text: str, keep: bytes | None) -> tuple[str, int, int]:
@@ -190,13 +190,6 @@ def kept_text(text: str, keep: bytes | None) -> tuple[str, int, int]:
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its ``tag`` and bitmap (null: all lines stay)."""
-    left = docs.withColumn("tag", F.hash(F.coalesce("text", F.lit(""))))
-    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "keep")
-    return left.join(right, (left.tag == right["_tag"]) & left.doc_id.eqNullSafe(right["_id"]), "left").drop("_id", "_tag")
-
-
 def line_report(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Per document: lines, dropped lines, and the SHA-256 of what stays."""
 
@@ -206,4 +199,7 @@ def line_report(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(t.encode()).hexdigest() for t, _, _ in kept]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for _, n, _ in kept], pa.int64()), pa.array([n for _, _, n in kept], pa.int64()), pa.array(digests)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(documents(docs), bitmaps).drop("tag").mapInArrow(rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    left = keyed(docs)
+    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "keep")
+    wide = left.join(right, (left.tag == right["_tag"]) & left.doc_id.eqNullSafe(right["_id"]), "left").select("doc_id", "text", "keep")
+    return wide.mapInArrow(tidy(rows), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.bytehash import Prefix, lowered, words
-from tidemark.llm.shared import buffer_of, chunks
+from tidemark.llm.shared import buffer_of, chunks, tidy
 
 _WORDS, _SHAPES = 4096, 1024
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -119,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("vote"), pa.array(packed, pa.binary())], names=["doc_id", "vote", "cells"])
 
     # at most `most` ids, each of at most _WORDS + _SHAPES cells; a repeated id counts once
-    found = texts.mapInArrow(rows, "doc_id long, vote int, cells binary").groupBy("doc_id").agg(F.first("vote").alias("vote"), F.min("cells").alias("cells")).orderBy("doc_id").collect()
+    found = texts.mapInArrow(tidy(rows), "doc_id long, vote int, cells binary").groupBy("doc_id").agg(F.first("vote").alias("vote"), F.min("cells").alias("cells")).orderBy("doc_id").collect()
     votes = np.array([r.vote for r in found], np.float64)
     width = _WORDS + _SHAPES
     if not len(votes):
@@ -147,15 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` and ``score``, 0 to 1."""
-    rows = docs.drop("score")
+    """All rows and columns of ``docs`` and ``score``, 0 to 1. Columns travel in one struct, whatever their names."""
+    columns = [c for c in docs.columns if c.lower() != "score"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_whole"):
-            scores = pa.array(shared.value.score(*buffer_of(batch.column("_whole"))))
-            keep = [n for n in batch.schema.names if n != "_whole"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), scores], names=[*keep, "score"])
+        for batch in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shared.value.score(*buffer_of(batch.column("text"))))], names=["row", "score"])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.withColumn("_whole", F.coalesce("text", F.lit(""))).mapInArrow(score, schema)
+    scored = rows.mapInArrow(tidy(score), rows.select("row").schema.add("score", "double"))
+    return scored.select(*(F.col("row")[c].alias(c) for c in columns), "score")

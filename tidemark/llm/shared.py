@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +56,17 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``tag``, 32 bits of the text: with ``doc_id`` it names a row also where an id is repeated or null."""
-    return documents(docs).withColumn("tag", F.hash("text"))
+    """Adds ``tag``, 64 bits of the text: with ``doc_id`` it names a row also where an id is repeated or null."""
+    return documents(docs).withColumn("tag", F.xxhash64("text"))
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """``row`` (a struct of all columns, so that none clashes with an operator's own) beside doc_id, text and tag."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
+
+
+def unnested(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("row")[c].alias(c) for c in columns))
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,3 +88,28 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Hands freed memory back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(rows: Rows) -> Rows:
+    """``rows``, and ``release`` at the end of each task."""
+
+    @functools.wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return run

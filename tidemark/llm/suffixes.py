@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytehash import Prefix, mix
-from tidemark.llm.shared import buffer_of, chunks, keyed, written
+from tidemark.llm.shared import buffer_of, chunks, keyed, tidy, written
 
 GRAM = 24
 BITS = 1 << 28
@@ -137,7 +137,7 @@ def _counts(length: int):
     return rows
 
 
-_ENTRY = "kind int, gram long, doc_id long, tag int, low int, high int, bytes binary"
+_ENTRY = "kind int, gram long, doc_id long, tag long, low int, high int, bytes binary"
 
 
 def _bit(gram: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def _suffixes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarra
     return Prefix(data).of(at, at + length), row, batch.column("low").to_numpy()[row] + inner
 
 
-_SPAN = "doc_id long, tag int, start int, stop int"
+_SPAN = "doc_id long, tag long, start int, stop int"
 
 
 def _spans(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, length: int, last: np.ndarray | None = None) -> pa.RecordBatch:
@@ -274,22 +274,22 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = keyed(docs)
     if not texts.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id", "tag"])  # a row never repeats itself
-    counts = texts.mapInArrow(_counts(length), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = texts.mapInArrow(tidy(_counts(length)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     counts = written(counts, "samples")
     n, hot = counts.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > HOT, 1))).first()
     small = n * 8 <= BITS
     maps = spark.sparkContext.broadcast((_bitmap(counts, n) if small else None, _bitmap(counts.where(F.col("n") > HOT), hot) if small and hot else None))
-    rows = texts.mapInArrow(_emit(length, maps), _ENTRY)
+    rows = texts.mapInArrow(tidy(_emit(length, maps)), _ENTRY)
     if not small:
         rows = rows.join(counts, "gram", "left").where("kind = 0 or n is not null").withColumn("kind", F.when((F.col("kind") == 1) & (F.col("n") > HOT), 2).otherwise(F.col("kind"))).drop("n")
     if hot:
         rows = written(rows, "entries")
     order = ["doc_id", "tag"]
-    cold = rows.where("kind < 2").repartition("gram").sortWithinPartitions("gram", *order, "low").mapInArrow(_resolve(length), _SPAN)
+    cold = rows.where("kind < 2").repartition("gram").sortWithinPartitions("gram", *order, "low").mapInArrow(tidy(_resolve(length)), _SPAN)
     if not hot:
         return cold
-    warm = rows.where("kind = 2").mapInArrow(_hot_rows(length), "suffix long, doc_id long, tag int, start int")
-    return cold.unionByName(warm.repartition("suffix").sortWithinPartitions("suffix", *order, "start").mapInArrow(_hot_spans(length), _SPAN))
+    warm = rows.where("kind = 2").mapInArrow(tidy(_hot_rows(length)), "suffix long, doc_id long, tag long, start int")
+    return cold.unionByName(warm.repartition("suffix").sortWithinPartitions("suffix", *order, "start").mapInArrow(tidy(_hot_spans(length)), _SPAN))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -324,4 +324,4 @@ def span_report(docs: DataFrame, length: int = 100) -> DataFrame:
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return wide.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return wide.mapInArrow(tidy(rows), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

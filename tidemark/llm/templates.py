@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytehash import Prefix, _numbers, lowered, mix, words
-from tidemark.llm.shared import buffer_of, chunks, keyed
+from tidemark.llm.shared import buffer_of, chunks, keyed, tidy
 
 # fixed values
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams pound pounds ounce ounces ton tons ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees"
@@ -169,14 +169,14 @@ def _emit(size: int, id_column: str, wanted: np.ndarray | None, short: list[int]
     return rows
 
 
-_WINDOW = "id long, tag int, hash long, pos int, n int, fit boolean, slots array<string>, open array<boolean>"
+_WINDOW = "id long, tag long, hash long, pos int, n int, fit boolean, slots array<string>, open array<boolean>"
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, small: int = 4_000_000) -> DataFrame:
     """One row per leaked item and document: doc_id, tag, item_id, n_windows, item_windows, kind."""
     spark = docs.sparkSession
     ours = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text")).transform(keyed)
-    ours = ours.mapInArrow(_emit(size, "doc_id", None), _WINDOW).select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), F.col("hash"), F.col("pos").alias("at"), F.col("n"), F.col("fit"), F.col("slots").alias("own"), F.col("open").alias("own_open")).distinct()
+    ours = ours.mapInArrow(tidy(_emit(size, "doc_id", None)), _WINDOW).select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), F.col("hash"), F.col("pos").alias("at"), F.col("n"), F.col("fit"), F.col("slots").alias("own"), F.col("open").alias("own_open")).distinct()
     totals = ours.groupBy(F.col("item_id").alias("_id"), F.col("item_tag").alias("_tag")).agg(F.countDistinct("at").alias("places"), F.countDistinct(F.when(F.col("fit"), F.col("at"))).alias("fit_places"))
     wanted = None
     hashes = ours.select("hash", "n").distinct().limit(small + 1).toArrow()
@@ -191,7 +191,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, s
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _emit(size, "doc_id", held.value, short)(batches)
 
-    theirs = keyed(docs).mapInArrow(emit, _WINDOW).withColumnRenamed("id", "doc_id").drop("n", "fit")
+    theirs = keyed(docs).mapInArrow(tidy(emit), _WINDOW).withColumnRenamed("id", "doc_id").drop("n", "fit")
     pair = theirs.join(ours, "hash").withColumn("shift", F.col("pos") - F.col("at"))
     pair = pair.withColumn("words", F.transform(F.arrays_zip("own", "slots", "own_open", "open"), lambda w: F.struct(w["own"].alias("own"), w["slots"].alias("slots"), (w["own_open"] | w["open"]).alias("open"))))
     run = pair.groupBy("doc_id", "tag", "item_id", "item_tag", "shift").agg(F.collect_set(F.struct("at", "fit", "words")).alias("matched"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import chunks, scratch_path, written
+from tidemark.llm.shared import chunks, scratch_path, tidy, written
 
 _DATE = "2020-01-01T00:00:00Z"
 _RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, page_id long, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
@@ -142,7 +142,7 @@ def read_records(file: BinaryIO, with_payload: bool) -> Iterator[dict]:
 def with_types(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, tag, url, html (binary), and the page (page_id, tag) that a row revisits, or null."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
-    rows = rows.withColumn("tag", F.hash("url", "html")).withColumn("digest", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
+    rows = rows.withColumn("tag", F.xxhash64("url", "html")).withColumn("digest", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
     largest = rows.where("digest is not null").groupBy("digest").agg(F.max(F.struct("page_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first.page_id is not null").drop("n")
     # short payloads have no digest and stay out of the join
     long = rows.where("digest is not null").join(largest, "digest", "left")
@@ -173,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000) -> list[dic
             fs.move(temporary, name)
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "captures": [n]})
 
-    return [r.asDict() for r in with_types(pages, least).mapInArrow(write, "part long, captures long").collect()]
+    return [r.asDict() for r in with_types(pages, least).mapInArrow(tidy(write), "part long, captures long").collect()]
 
 
 def read_archives(spark: SparkSession, folder: str, shards: list[dict], with_payload: bool = True) -> DataFrame:
@@ -198,7 +198,7 @@ def read_archives(spark: SparkSession, folder: str, shards: list[dict], with_pay
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, _RECORD)
+    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(tidy(read), _RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:
