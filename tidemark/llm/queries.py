@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.jpeg import media_report, with_media
+from tidemark.llm.jpeg import media_report, stored
 from tidemark.llm.lines import line_bitmaps, line_report
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.pieces import piece_report
 from tidemark.llm.quality import fit, held_out, with_scores
-from tidemark.llm.secrets import RULES, secret_report
+from tidemark.llm.secrets import secret_report
 from tidemark.llm.shared import table
 from tidemark.llm.suffixes import span_report
 from tidemark.llm.templates import leaks
@@ -65,7 +65,7 @@ def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_report(with_media(table(spark, sf_dir, "documents"))).drop("width", "height")
+    return media_report(stored(table(spark, sf_dir, "documents"))).drop("width", "height")
 
 
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,19 +90,29 @@ _KEY = f"translate({_TRIMMED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqr
 
 
 
+#: (kind, expression, group, least length of the group, whether of the base) as the task words them.
+_SECRETS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, True),
+    ("hex", "[0-9a-f]+", 0, 24, True),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, False),
+)
+
+
 def _secret_sql() -> str:
     """Starts are sums of the gaps and matches before; DuckDB's expressions take the leftmost, greedy match too."""
     spans = []
-    for k, r in enumerate(RULES):
-        p = r.pattern.replace("'", "''")
+    for k, (kind, pattern, group, least, base) in enumerate(_SECRETS):
+        p = pattern.replace("'", "''")
         spans.append(f"""
-  select doc_id, {k} as kind, '{r.kind}' as name, {r.base} as base, starts[i] as start, starts[i] + length(m[i]) as stop
+  select doc_id, {k} as kind, '{kind}' as name, {base} as base, starts[i] as start, starts[i] + length(m[i]) as stop
   from (select *, list_transform(range(1, len(m) + 1), lambda j: (list_sum(list_transform(g[1:j], lambda x: length(x))) +
       coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0))::bigint) as starts
-    from (select doc_id, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {r.value_group}) as v, string_split_regex(t, '{p}') as g
-      from (select doc_id, coalesce(text, '') as t from documents)) where len(m) > 0), unnest(range(1, len(m) + 1)) as u(i)
-  where length(v[i]) >= {r.least}""")
-    counts = ", ".join(f"count(*) filter (where name = '{r.kind}')::bigint as n_{r.kind}" for r in RULES if r.base)
+    from (select doc_id, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {group}) as v, string_split_regex(t, '{p}') as g
+      from (select doc_id, coalesce(text, '') as t from documents) where regexp_matches(t, '{p}')) where len(m) > 0), unnest(range(1, len(m) + 1)) as u(i)
+  where length(v[i]) >= {least}""")
+    counts = ", ".join(f"count(*) filter (where name = '{kind}')::bigint as n_{kind}" for kind, _, _, _, base in _SECRETS if base)
     joined = "coalesce(string_agg(name || ':' || start || ':' || stop, ',' order by start, kind){}, '')"
     return f"""
 with spans as ({" union all ".join(spans)})

@@ -1,11 +1,15 @@
 """Secret scans by a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression is turned, on the driver, into a Boolean query of trigrams that any match must hold
-(``trigram_query``). The index lists, for each trigram that some query asks for, the documents whose lower-cased text holds
-it. Postings are intersected per document, never per trigram, so a trigram that stands in every document is no hot key:
-``bit_or`` over a document's postings is formed in the task that made them. Candidates are verified by the expression
+(``trigram_query``). ``write_index`` goes through the texts once, numbers them, and writes for each trigram that some rule asks
+for the texts whose lower-cased form holds it: blocks of 32,768 numbers, in a block 64-bit words of one bit a text, sorted by
+trigram. ``candidates`` looks up the rules' trigrams and intersects (or unites) their words bit by bit; words are keyed by
+number, not by trigram, so a trigram that stands in every text is no hot key. Candidates are verified by the expression
 itself; a rule without mandatory trigrams scans every text.
 
+The candidates, a few texts in a hundred here, are joined to the texts: broadcast where they are at most ``SMALL`` (counted
+in their table), else by a shuffle of both.
+
 Offsets come from the built-in functions: the text split at the expression gives the gaps between matches, so a match starts
 after the gaps and matches before it. Offsets count code points, ends are exclusive.
 
@@ -24,9 +28,10 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import keyed
+from tidemark.llm.shared import documents, keyed, written
 
 Query = bool | str | tuple
+SMALL = 1_000_000  # candidates that are broadcast, about 40 bytes each
 
 
 @dataclass(frozen=True)
@@ -127,33 +132,46 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set()
 
 
-def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """The inverted index of the wanted trigrams: (trigram, doc_id, tag)."""
+@dataclass(frozen=True)
+class Index:
+    """``rows``: number, doc_id, tag of each text. ``postings``: trigram, block, words (array of struct of word, bits)."""
+
+    rows: DataFrame
+    postings: DataFrame
+
+
+def write_index(docs: DataFrame, wanted: list[str]) -> Index:
+    """The inverted index of the wanted trigrams, as tables in the shared folder."""
     low = keyed(docs).select("doc_id", "tag", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(wanted))))
-    return low.select(F.explode(held).alias("trigram"), "doc_id", "tag")
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in wanted))) if wanted else F.array().cast("array<string>")
+    # numbers follow the rows of a partition and hold once they are written
+    texts = written(low.select(F.monotonically_increasing_id().alias("number"), "doc_id", "tag", held.alias("held")), "numbers")
+    each = texts.select(F.explode("held").alias("trigram"), "number")
+    words = each.groupBy("trigram", F.expr("number div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(number % 64 as int)))").alias("bits"))
+    blocks = words.groupBy("trigram", F.expr("word div 512").alias("block")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return Index(texts.select("number", "doc_id", "tag"), written(blocks.sortWithinPartitions("trigram", "block"), "postings"))
 
 
-def _holds(query: Query, words: list[Column], number: dict[str, int]) -> Column:
-    if query is True:
-        return F.lit(True)
+def _holds(query: Query, lists: dict[str, Column]) -> Column:
+    """Bits of the texts of one word whose lists satisfy the query."""
     if isinstance(query, str):
-        n = number[query]
-        return words[n // 60].bitwiseAND(F.lit(1 << n % 60)) != 0
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), (_holds(q, words, number) for q in query[1:]))
+        return lists[query]
+    return reduce((lambda a, b: a.bitwiseAND(b)) if query[0] == "and" else (lambda a, b: a.bitwiseOR(b)), (_holds(q, lists) for q in query[1:]))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def candidates(index: Index, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, tag, one Boolean per indexed rule) of the documents whose postings satisfy a rule's query."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
     wanted = sorted(set().union(*map(trigrams, queries.values())))
-    number = {g: k for k, g in enumerate(wanted)}
-    sets = range(-(-len(wanted) // 60))
-    held = [F.expr(f"bit_or(if(trigram div 60 = {s}, shiftleft(1L, trigram % 60), 0L))").alias(f"_{s}") for s in sets]
-    by_doc = postings(docs, wanted).groupBy("doc_id", "tag").agg(*held)
-    indexed = [k for k, q in queries.items() if q is not True]
-    found = by_doc.select("doc_id", "tag", *(_holds(queries[k], [F.col(f"_{s}") for s in sets], number).alias(f"may_{k}") for k in indexed))
-    return found.where(reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in indexed)))
+    number = {g: f"_{k}" for k, g in enumerate(wanted)}
+    found = index.postings.where(F.col("trigram").isin(wanted)).select("trigram", F.inline("words"))
+    lists = found.groupBy("word").agg(*(F.bit_or(F.when(F.col("trigram") == g, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(n) for g, n in number.items()))
+    met = lists.select("word", *(_holds(q, {g: F.col(n) for g, n in number.items()}).alias(k) for k, q in queries.items()))
+    some = reduce(lambda a, b: a.bitwiseOR(b), map(F.col, queries))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftrightunsigned", some, b).bitwiseAND(F.lit(1)) == 1))
+    met = met.where(some != 0).select("*", bit.alias("bit"))
+    flags = [(F.call_function("shiftrightunsigned", F.col(k), F.col("bit")).bitwiseAND(F.lit(1)) == 1).alias(f"may_{k}") for k in queries]
+    return met.select((F.col("word") * 64 + F.col("bit")).alias("number"), *flags).join(index.rows, "number").drop("number")
 
 
 _SPANS = "array<struct<start:bigint,kind:int,stop:bigint>>"
@@ -180,11 +198,16 @@ def _text_of(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``docs`` as doc_id, text and spans (array of start, number of the rule, stop), sorted."""
-    may = candidates(docs, rules)
-    flags = [c for c in may.columns if c.startswith("may_")]
-    right = may.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *flags)
-    left = keyed(docs)
-    rows = left.join(right, (left.tag == right["_tag"]) & left.doc_id.eqNullSafe(right["_id"]), "left")
+    queries = [trigram_query(r.pattern) for r in rules]
+    indexed = [r.kind for r, q in zip(rules, queries, strict=True) if q is not True]
+    flags = [f"may_{k}" for k in indexed]
+    rows = documents(docs)
+    if indexed:
+        may = candidates(write_index(docs, sorted(set().union(*map(trigrams, queries)))), rules)
+        may = written(may.groupBy("doc_id", "tag").agg(*(F.bool_or(f).alias(f) for f in flags)), "candidates")
+        right = may.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *flags)
+        left = keyed(docs)
+        rows = left.join(F.broadcast(right) if may.count() <= SMALL else right, (left.tag == right["_tag"]) & left.doc_id.eqNullSafe(right["_id"]), "left")
     none = F.array().cast("array<string>")
     asked = {}
     for r in rules:
