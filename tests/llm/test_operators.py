@@ -7,11 +7,13 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tidemark.llm import jpeg, lines, minhash, pieces, quality, secrets, stages, suffixes, templates, tokens, warc
+from tidemark.llm import words as kept_words
 from tidemark.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, tag string, score string, keep int, node string, n long, spans string, _whole int, n_chars long"
@@ -75,7 +77,7 @@ def test_word_encoder_equals_library():
     encode = tokens.WordEncoder(vocabulary("word_bpe_49k.json"))
     rng = random.Random(1)
     made = ["".join(rng.choice("abAÉé'\"(<|>*-.,!9 \ńsSt") for _ in range(50)) for _ in range(400)] + ["a<|endoftext|>b <|STARTOFTEXT|>", "⦀ x⦀", "İstanbul ΣΑΣ"]
-    assert encode([t.encode() for t in made]) == encode.whole(made)
+    assert encode(pa.array(made)) == encode.whole(made)
 
 
 def test_damaged_record_is_refused(docs, tmp_path):
@@ -117,34 +119,83 @@ def test_minhash(docs, none, odd, rows, size):
         assert sorted((r.doc_id is None, r.component_id) for r in minhash.near_duplicates(odd, size, 80).collect() if r.n_shingles) == [(False, 5), (False, 5), (False, 5), (True, 5)]
 
 
-def test_family_splits_blocks(spark):
-    """Near copies at many distances, in blocks of a few nodes: no link is lost."""
-    rng = random.Random(8)
-    base = [str(rng.random()) for _ in range(80)]
+def near_texts(rng, n, width, most):
+    """Near copies at many distances of one text."""
+    base = [str(rng.random()) for _ in range(width)]
     rows = []
-    for n in range(60):
+    for k in range(n):
         w = list(base)
-        for _ in range(rng.randint(0, 6)):
-            w[rng.randrange(80)] = str(rng.random())
-        rows.append((n, " ".join(w)))
-    old, minhash._BLOCK = minhash._BLOCK, 7
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(width)] = str(rng.random())
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("outside", "family", "stars"), [(1 << 20, 1 << 20, 4), (9000, 12_000, 1), (1500, 3000, 0)])
+def test_families_in_blocks_and_parts(spark, monkeypatch, outside, family, stars):
+    """Blocks of a few nodes, further stars, and families split by further keys: no link is lost."""
+    monkeypatch.setattr(minhash, "_STARS", stars)
+    monkeypatch.setattr(minhash, "_LARGE", 1 if outside < 9999 else 32)
+    monkeypatch.setattr(minhash, "_OUTSIDE", outside)
+    monkeypatch.setattr(minhash, "_FAMILY", family)
+    rows = near_texts(random.Random(8), 60, 80, 6)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == components(rows, 4)[1]
+
+
+def test_signatures_near_the_threshold(spark):
+    """Of pairs at 80 to 82 %, all signatures lie within the distance that the index covers."""
+    rng, pairs = np.random.default_rng(4), 4000
+    found, owner = [], []
+    for k in range(pairs):
+        n = int(rng.integers(40, 400))
+        differ = int(n * (1 - 0.8) / (1 + 0.8))  # of each side
+        both = rng.integers(0, 2**63, n - differ, np.uint64)
+        for side in range(2):
+            own = np.concatenate([both, rng.integers(0, 2**63, differ, np.uint64)])
+            found.append(own)
+            owner.append(np.full(n, 2 * k + side))
+    sig = minhash.signatures(np.concatenate(found), np.concatenate(owner), 2 * pairs)
+    differ = (sig[::2] != sig[1::2]).sum(1)
+    assert differ.max() <= minhash.MOST
+    keys = next(iter(minhash._key_rows([pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), minhash._binary(sig[:2000])], names=["node", "sig"])])))
+    keys = keys.column("key").to_numpy().reshape(2000, 64)
+    assert (keys[::2] == keys[1::2]).any(1).all()
+
+
+def test_many_nodes_of_one_key_stay_linear(spark):
+    """20,000 near copies in one family: rows of blocks follow the family's size."""
+    n = 20_000
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(10).cast("long").alias("n"), F.lit(bytes(128)).alias("sig"))
+    sets = nodes.select("node", F.lit(bytes(80)).alias("shingles"))
+    rest = nodes.select(F.lit(1).alias("family"), "node", "n", F.when(F.col("node") < 50, F.col("node")).otherwise(50).alias("comp"), F.lit(50).cast("long").alias("main"), F.lit(n * 280).alias("bytes"), F.lit(50 * 280).alias("outside"))
+    links = minhash._Links(nodes, sets, 80)
+    seen = []
+    made = links.blocks.__func__
+    old, minhash.written = minhash.written, lambda df, label: seen.append(df) or df
     try:
-        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+        edges = made(links, rest)
     finally:
-        minhash._BLOCK = old
-    assert got == components(rows, 4)[1]
+        minhash.written = old
+    assert edges.count() >= 50
+    assert "CartesianProduct" not in seen[0]._jdf.queryExecution().toString()
+
+
+#: The contract's expressions, in its own words, and the least lengths of what is tested; then the further kinds.
+WORDING = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+]
 
 
 def brute_secrets(text):
-    found = []
-    for k, r in enumerate(secrets.RULES):
-        for m in re.finditer(r.pattern, text):
-            if not r.value_group or len(m[r.value_group]) >= r.least:
-                found.append((m.start(), k, m.end()))
-    return sorted(found)
+    return sorted((m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(WORDING) for m in re.finditer(p, text) if len(m[group]) >= least)
 
 
-def test_secrets(docs, none, odd, rows):
+def test_secrets(docs, none, odd, rows, monkeypatch):
     got = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
     named = lambda s: ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in s)
     for n, t in rows:
@@ -153,9 +204,34 @@ def test_secrets(docs, none, odd, rows):
         assert got[n].base_sha256 == sha(named([f for f in found if secrets.RULES[f[1]].base]))
         assert got[n].n_assign == sum(k == 0 for _, k, _ in found)
     assert secrets.secret_report(none).count() == 0 and secrets.secret_report(odd).count() == 5
+    monkeypatch.setattr(secrets, "SMALL", 0)
+    assert {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()} == {n: r.spans for n, r in got.items()}
     assert secrets.trigram_query("[0-9a-f]+") is True and secrets.trigram_query("abc|bcd") == ("or", "abc", "bcd")
 
 
+def test_trigram_index(docs, rows):
+    """Posting blocks list exactly the texts that hold a trigram; candidates are those whose lists satisfy the query."""
+    queries = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
+    wanted = sorted(set().union(*map(secrets.trigrams, queries.values())))
+    index = secrets.write_index(docs, wanted)
+    names = {r.number: r.doc_id for r in index.rows.collect()}
+    held = {}
+    for r in index.postings.collect():
+        for word, bits in r.words:
+            held.setdefault(r.trigram, set()).update(names[word * 64 + b] for b in range(64) if bits >> b & 1)
+    assert held == {g: ids for g in wanted if (ids := {n for n, t in rows if g in (t or "").lower()})}
+    assert index.postings.groupBy("trigram", "block").count().where("count > 1").count() == 0
+
+    def holds(query, text):
+        return True if query is True else query in text if isinstance(query, str) else (all if query[0] == "and" else any)(holds(q, text) for q in query[1:])
+
+    may = {r.doc_id: r.asDict() for r in secrets.candidates(index).collect()}
+    for n, t in rows:
+        for kind, query in queries.items():
+            if query is not True:
+                assert may.get(n, {}).get(f"may_{kind}", False) == holds(query, (t or "").lower())
+
+
 def test_pieces(docs, none, odd, rows):
     path = vocabulary("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -170,9 +246,30 @@ def test_agenda_equals_library():
     model = pieces.PieceModel(vocabulary("piece_bpe_32k.model"))
     rng = random.Random(2)
     made = ["".join(rng.choice("ab cé\n\t  ▁ü日🙂.,!'09<s>THe\x85") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    ids = model.encode(made)
+    made += ["x" * 50, "ab" * 100, "   ", "a  \n\n b ", "🙂" * 40]
+    ids = model.encode(pa.array(made))
     assert [np.frombuffer(i, "<u4").tolist() for i in ids] == model.library.encode(made, add_bos=True, add_eos=True)
-    assert [model.decode(i) for i in ids] == model.library.decode(model.library.encode(made))
+    assert model.decode(ids) == model.library.decode(model.library.encode(made))
+    words = [w for w in {x for t in made for x in t.split()} if w]
+    ids, ends = model.agendas([f" {w}" for w in words])
+    assert [p.tolist() for p in np.split(ids, ends[:-1])] == [model.agenda(f"▁{w}") for w in words]
+
+
+def test_kept_words_begin_anew():
+    calls = []
+
+    def encode(words):
+        calls.append(len(words))
+        data = "".join(w[::-1] for w in words).encode()
+        return np.frombuffer(data, np.uint8), np.cumsum([len(w) for w in words])
+
+    kept = kept_words.Kept(encode, 10)
+    rng = random.Random(3)
+    for n in (5, 40_000, 3, 60_000):
+        made = [str(rng.randrange(90_000)) for _ in range(n)]
+        data, ends = kept.codes(pa.array([w.encode() for w in made]))
+        assert data.tobytes() == "".join(w[::-1] for w in made).encode() and np.diff(ends).tolist() == [len(w) for w in made]
+    assert len(calls) > 4 and kept.codes(pa.array([], pa.binary()))[1].tolist() == [0]
 
 
 def line_key(line):
@@ -265,11 +362,48 @@ def test_suffix_pieces_and_join(spark, monkeypatch):
     assert got == {1: (0, 0), 2: (2000, 1), 3: (100, 1)}
 
 
-def test_levels_halve():
-    levels = suffixes.Levels()
+@pytest.mark.parametrize("slice_", [7, 1 << 16])
+def test_levels_halve(monkeypatch, slice_):
+    monkeypatch.setattr(suffixes, "_SLICE", slice_)
+    text = np.frombuffer("".join(f"{n:05d}" for n in range(400)).encode(), np.uint8)
+    levels = suffixes.Levels(5)
     for k in range(8):
-        levels.add(np.arange(k, 80, 8, dtype=np.uint64))
-    assert len(levels.arrays) == 1 and levels.holds(np.array([5, 81], np.uint64)).tolist() == [True, False]
+        starts = np.arange(k, 80, 8) * 5
+        levels.add(text.copy(), starts)
+    data, starts = levels.arrays[0]
+    assert len(levels.arrays) == 1 and [data[a : a + 5].tobytes().decode() for a in starts] == [f"{n:05d}" for n in range(80)]
+    assert levels.holds(np.array([b"00005", b"00081"])).tolist() == [True, False]
+
+
+def test_suffix_array_is_lexicographic():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 3000).astype(np.uint8)  # zero bytes too
+    at, family = np.arange(2900), np.sort(rng.integers(0, 5, 2900))
+    order, same = suffixes.suffix_array(data, at, family, 7)
+    keys = [(int(f), data[a : a + 7].tobytes(), a) for f, a in zip(family, at.tolist(), strict=True)]
+    assert [keys[i] for i in order] == sorted(keys)
+    assert same.tolist() == [k > 0 and keys[i][:2] == keys[j][:2] for k, (i, j) in enumerate(zip(order, [0, *order[:-1]], strict=True))]
+
+
+@pytest.mark.parametrize("batch", [3, 4096])
+def test_families_over_batches(spark, monkeypatch, batch):
+    """Families that go on over many batches."""
+    monkeypatch.setattr(suffixes, "_BATCH", batch)
+    rng = random.Random(6)
+    core = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    made = []
+    for n in range(40):
+        left, right = "".join(rng.choice("xy") for _ in range(rng.randint(1, 7))), "".join(rng.choice("zw") for _ in range(rng.randint(1, 7)))
+        made.append((n, f"{n:03d}" * 40 + left + core + right + "".join(rng.choice("pqrst") for _ in range(60))))
+    seen, want = set(), {}
+    for n, t in made:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 99):
+            gone[i : i + 100] |= t[i : i + 100] in seen
+            seen.add(t[i : i + 100])
+        want[n] = int(gone.sum())
+    got = {r.doc_id: r.n_removed for r in suffixes.span_report(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == want and len({w for w in want.values() if w}) > 2
 
 
 def test_quality(spark, none):
@@ -372,6 +506,190 @@ def test_jpeg_all_bytes():
         jpeg.parse(b"GIF89a")
 
 
+def slow_jpeg(data):
+    """A plain baseline decoder, a bit at a time: markers' sizes and the coefficients of all blocks in scan order."""
+    at, tables, parts, interval = 2, {}, [], 0
+    while True:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body, at = data[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xC4:
+            while body:
+                codes, code, k = {}, 0, 17
+                for length in range(1, 17):
+                    for _ in range(body[length]):
+                        codes[f"{code:0{length}b}"] = body[k]
+                        code, k = code + 1, k + 1
+                    code *= 2
+                tables[body[0]], body = codes, body[k:]
+        elif marker == 0xC0:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15) for k in range(body[5])]
+        elif marker == 0xDD:
+            interval = int.from_bytes(body, "big")
+        elif marker == 0xDA:
+            use = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, 16 + (body[2 + 2 * k] & 15)) for k in range(body[0])}
+            break
+    pieces, now = [], bytearray()
+    while data[at : at + 2] != b"\xff\xd9":
+        if data[at] == 255 and 0xD0 <= data[at + 1] <= 0xD7:
+            pieces.append(bytes(now))
+            now, at = bytearray(), at + 2
+        else:
+            now.append(data[at])
+            at += 2 if data[at] == 255 else 1
+    pieces.append(bytes(now))
+    many = len(parts) > 1
+    h, v = (max(p[1] for p in parts), max(p[2] for p in parts)) if many else (1, 1)
+    units = -(-width // (8 * h)) * -(-height // (8 * v))
+    blocks = []
+    for n, piece in enumerate(pieces):
+        bits, place = "".join(f"{b:08b}" for b in piece), 0
+
+        def value(size):
+            nonlocal place
+            raw, place = bits[place : place + size], place + size
+            return 0 if not size else int(raw, 2) if raw[0] == "1" else int(raw, 2) - (1 << size) + 1
+
+        def symbol(table):
+            nonlocal place
+            word = ""
+            while word not in table:
+                word, place = word + bits[place], place + 1
+            return table[word]
+
+        last = dict.fromkeys(use, 0)
+        for _ in range(min(interval or units, units - n * (interval or units))):
+            for part, across, down in parts:
+                for _ in range(across * down if many else 1):
+                    block, k = [0] * 64, 1
+                    last[part] += value(symbol(tables[use[part][0]]))
+                    block[0] = last[part]
+                    while k < 64:
+                        s = symbol(tables[use[part][1]])
+                        if s == 0:
+                            break
+                        k += s >> 4
+                        if s & 15:
+                            block[k] = value(s & 15)
+                        k += 1
+                    blocks.append(block)
+    return width, height, blocks
+
+
+def foreign_jpeg(rng, width, height, factors, interval):
+    """A file of several components with tables of its own; and its coefficients."""
+    codes = {s: f"{k:08b}" for k, s in enumerate([0, 0xF0, *(r << 4 | z for r in range(16) for z in range(1, 9))])}
+    dc = {z: f"{z:04b}" for z in range(12)}
+    segment = lambda m, b: bytes([255, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    many = len(factors) > 1
+    h, v = (max(f[0] for f in factors), max(f[1] for f in factors)) if many else (1, 1)
+    units = -(-width // (8 * h)) * -(-height // (8 * v))
+    said = lambda x: (abs(x).bit_length(), f"{x if x > 0 else x + (1 << abs(x).bit_length()) - 1:0{abs(x).bit_length()}b}" if x else "")
+    blocks, scan, bits, last = [], b"", "", [0] * len(factors)
+
+    def closed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+    for u in range(units):
+        if interval and u and u % interval == 0:
+            scan, bits, last = scan + closed(bits) + bytes([255, 0xD0 + (u // interval - 1) % 8]), "", [0] * len(factors)
+        for c, (across, down) in enumerate(factors):
+            for _ in range(across * down if many else 1):
+                block = [rng.randint(-200, 200), *(rng.choice([0, 0, 0, 0, 0, rng.randint(-90, 90)]) for _ in range(63))]
+                if rng.random() < 0.3:
+                    block[rng.randint(2, 30) :] = [0] * (64 - len(block[: rng.randint(2, 30)]))
+                    block = (block + [0] * 64)[:64]
+                z, raw = said(block[0] - last[c])
+                bits, last[c], run = bits + dc[z] + raw, block[0], 0
+                for x in block[1:]:
+                    if x == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + codes[0xF0], run - 16
+                    z, raw = said(x)
+                    bits, run = bits + codes[run << 4 | z] + raw, 0
+                bits += codes[0] if run else ""
+                blocks.append(block)
+    tables = segment(0xC4, b"\x01" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + segment(0xC4, b"\x13" + bytes([0] * 7 + [len(codes)] + [0] * 8) + bytes(codes))
+    frame = segment(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(factors)]) + b"".join(bytes([7 + c, a << 4 | b, 0]) for c, (a, b) in enumerate(factors)))
+    scan_head = segment(0xDA, bytes([len(factors)]) + b"".join(bytes([7 + c, 0x13]) for c in range(len(factors))) + bytes([0, 63, 0]))
+    restart = segment(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    return b"\xff\xd8" + segment(0xDB, bytes([0] + [3] * 64)) + tables + frame + restart + scan_head + scan + closed(bits) + b"\xff\xd9", blocks
+
+
+def test_jpeg_foreign_files():
+    rng = random.Random(12)
+    made = [foreign_jpeg(rng, *shape) for shape in ((50, 41, [(2, 2), (1, 1), (1, 1)], 3), (33, 20, [(2, 1), (1, 1), (1, 1)], 0), (70, 30, [(1, 1)], 5), (16, 16, [(1, 1), (1, 1), (1, 1)], 1))]
+    for (file, blocks), (picture, got) in zip(made, jpeg.decode([f for f, _ in made]), strict=True):
+        assert got.tolist() == blocks == slow_jpeg(file)[2]
+        pixels = jpeg.thumbnail(picture, got)
+        assert pixels.shape == (-(-picture.height // 8), -(-picture.width // 8))
+        if len(picture.parts) == 1:
+            assert pixels.ravel().tolist() == [min(255, max(0, round(b[0] * 3 / 8) + 128)) for b in blocks]
+
+
+def test_jpeg_equals_a_plain_decoder(monkeypatch):
+    """Our files by a decoder that shares no code; whole or in pieces; and the thumbnail's hash cell by cell."""
+    rng = np.random.default_rng(2)
+    made = [rng.choice(np.frombuffer("the of and é,. \n".encode(), np.uint8), 64 * n) for n in (1, 9, 40, 130)]
+    files = jpeg.encode(made)
+    monkeypatch.setattr(jpeg, "_PIECE", 64)
+    assert jpeg.encode(made) == files
+    for p, f, (picture, blocks) in zip(made, files, jpeg.decode(files), strict=True):
+        width, height, slow = slow_jpeg(f)
+        assert (width, height) == (picture.width, picture.height) and blocks.tolist() == slow
+        back = {v: b for b, v in enumerate(jpeg.VALUES.tolist())}
+        assert bytes(back[x] for b in slow[: len(p) // 64] for x in b) == p.tobytes()
+        rows, cols = height // 8, width // 8
+        pixel = [[min(255, max(0, round(slow[y * cols + x][0] / 8) + 128)) for x in range(cols)] for y in range(rows)]
+        assert jpeg.thumbnail(picture, blocks).tolist() == pixel
+        cells = []
+        for y in range(8):
+            for x in range(8):
+                ys = range(min(y * rows // 8, rows - 1), max((y + 1) * rows // 8, min(y * rows // 8, rows - 1) + 1))
+                xs = range(min(x * cols // 8, cols - 1), max((x + 1) * cols // 8, min(x * cols // 8, cols - 1) + 1))
+                cells.append(sum(pixel[i][j] for i in ys for j in xs) / len(ys) / len(xs))
+        mean = sum(map(sum, pixel)) / rows / cols
+        assert jpeg.thumbnail_hash(jpeg.thumbnail(picture, blocks)) == f"{int(''.join(str(int(c > mean)) for c in cells), 2):016x}"
+
+
+STAGES = {
+    "keep_good": lambda d: stages.keep_good(d, d.sparkSession.createDataFrame([(n, 1) for n in range(20)], "doc_id long, quality int")),
+    "drop_common_lines": lambda d: stages.drop_common_lines(d, 10, 1),
+    "keep_one_of_each": stages.keep_one_of_each,
+    "drop_leaked": lambda d: stages.drop_leaked(d, d.sparkSession.createDataFrame([(1, "the quick stone rolled under seven green hills beside a very old river")], "item_id long, text string")),
+}
+CLASHING = "row tag keep score dropped _whole _own_score _tag _id _rtag _rid node comp sets n_same shingles a.b".split()
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns_nulls_and_repeats(spark, name):
+    """Columns with a stage's own names, null texts and ids, repeats, ties, a long text, and an empty table."""
+    leaked = "Here the quick stone rolled under seven green hills beside a very old river."
+    made = [(None, "a b c d e f g h"), (None, None), (5, "a b c d e f g h"), (5, "i j k l m n o p"), (5, "i j k l m n o p"), (6, ""), (7, leaked), (7, leaked), (8, "word " * 200_000)]
+    made += [(20 + n, f"own {n} of these {n * n} words\n a Common line") for n in range(10)]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(n, t, None if t is None else len(t), *(f"{c}{k if c == 'node' else ''}" for c in CLASHING)) for k, (n, t) in enumerate(made)], schema)
+    out = STAGES[name](docs)
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    rows = [tuple(r)[:3] for r in out.collect()]
+    assert {tuple(r)[3:][:4] for r in out.collect()} == {("row", "tag", "keep", "score")}
+    want = [(n, t, None if t is None else len(t)) for n, t in made]
+    if name == "drop_common_lines":
+        cut = lambda t: t and t.removesuffix("\n a Common line")
+        want = [(n, cut(t), None if t is None else len(cut(t))) for n, t in made]
+    elif name == "keep_one_of_each":
+        want = [r for k, r in enumerate(want) if k not in (0, 4, 7)]
+    elif name == "drop_leaked":
+        want = [r for r in want if r[0] != 7]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or 0)
+    assert sorted(rows, key=key) == sorted(want, key=key)
+    empty = STAGES[name](docs.limit(0))
+    assert empty.count() == 0 and empty.columns == docs.columns
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against plain Python; the quality scores are taken from the operator."""
     import corpus_pipeline
