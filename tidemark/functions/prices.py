@@ -74,5 +74,10 @@ def stored(value: Column) -> Column:
 
 
 def stored_time(ts: Column) -> Column:
-    """As stored: text, cut to milliseconds."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")
+    """As stored: text in UTC, cut to milliseconds, whatever the session's time zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss.SSS")
+
+
+def utc(ts: Column) -> Column:
+    """A time without a zone as the UTC instant."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.tables import numbered_rows
+
 
 def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """n, mean, p50, p95, p99 and max per group; the percentile p is the element at round(p/100 * (n - 1)) of the sorted
-    values. Values are ranked by a window over (group, value) counts, so equal values collapse and no group is gathered."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    window = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"upto": F.sum("n").over(window), "total": F.sum("n").over(Window.partitionBy(by))})
-    pick = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * 0 + (F.col("total") - 1) * (p / 100) + 0.5), F.col(value)))
-    return ranked.groupBy(by).agg(F.max("total").alias("n"), (F.sum(F.col(value) * F.col("n")) / F.max("total")).alias("mean"), pick(50).alias("p50"), pick(95).alias("p95"), pick(99).alias("p99"), F.max(value).alias("max"))
+    values. Values are numbered over ranges, so no group is gathered or sorted by one task; three of a group are then picked."""
+    some = rows.where(F.col(value).isNotNull()).select(by, value)
+    total = some.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    ranked = numbered_rows(some, [by], [value], "_at").join(total, F.col(by).eqNullSafe(F.col("_by")))
+    place = lambda p: F.floor((F.col("n") - 1) * (p / 100) + 0.5) + 1
+    picked = ranked.where(F.col("_at").isin(place(50), place(95), place(99)))
+    pick = lambda p: F.max(F.when(F.col("_at") == place(p), F.col(value))).alias(f"p{p}")
+    return picked.groupBy(by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), pick(50), pick(95), pick(99), F.first("max").alias("max"))
 
 
 def bounds(start: float, factor: float = 2.0, n: int = 14) -> list[float]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.prices import PRICE, cents, complement, instant, instrument_id, last_price_of, millis, oriented, price, string_list, yes_index
 from tidemark.operators.policies import numbered
 
+_NESTED = 4  # arrays in arrays that a frame may have
 EVENT = ["frame_no", "elem", "instrument", "venue", "yes_bid", "yes_ask", "last_price", "venue_ts", "recv_ts"]
 
 
@@ -28,6 +29,23 @@ def _whole(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant")) == "BIGINT", _get(value, path, "bigint"))
 
 
+def _true(value: Column, path: str) -> Column:
+    """Whether the field is the literal true; a string or number isn't."""
+    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant"))
+    return F.coalesce((kind == "BOOLEAN") & F.when(kind == "BOOLEAN", _get(value, path, "boolean")), F.lit(False))
+
+
+def _flat(value: Column) -> Column:
+    """The elements of an array, those of arrays in it in their place, and so on; a value that is none alone."""
+    one = lambda x: F.schema_of_variant(x).startswith("ARRAY")
+    parts = lambda x: F.when(one(x), F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array(x))
+    out = parts(value)
+    for _ in range(_NESTED):
+        out = F.flatten(F.transform(out, parts))
+    deep = F.raise_error(F.lit(f"arrays within more than {_NESTED} arrays")).cast("array<variant>")
+    return F.when(F.exists(out, one), deep).otherwise(out)
+
+
 def _dollars_or_cents(value: Column, name: str) -> Column:
     return F.coalesce(price(_string(value, f"{name}_dollars")), cents(_whole(value, name)))
 
@@ -60,11 +78,11 @@ def polymarket(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(instruments, ticks, tokens). A token's market and leg hold from the frame that registers it on, until another frame
     registers it anew; entries of tokens unknown by then are dropped."""
     parsed = frames.withColumn("v", F.try_parse_json("raw_frame")).where("v is not null")
-    batch = F.schema_of_variant("v").startswith("ARRAY")
-    many = F.when(batch, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    rows = parsed.select("frame_no", "recv_ts", "raw_frame", F.posexplode(many).alias("part", "e"))
-    e, kind = F.col("e"), _string(F.col("e"), "event_type")
-    markets = rows.where(kind.isNull() & _string(e, "conditionId").isNotNull())
+    rows = parsed.select("frame_no", "recv_ts", "raw_frame", F.posexplode(_flat(F.col("v"))).alias("part", "e"))
+    e = F.col("e")
+    market = F.try_variant_get(e, "$.conditionId", "variant").isNotNull()  # a market, whatever else the object says
+    kind = F.when(~market, _string(e, "event_type"))
+    markets = rows.where(market & _string(e, "conditionId").isNotNull())
     yes = yes_index(F.coalesce(string_list(_string(e, "outcomes")), F.array().cast("array<string>")))
     tokens_of = string_list(_string(e, "clobTokenIds"))
     last = price(F.get(string_list(_string(e, "outcomePrices")), yes))
@@ -94,4 +112,4 @@ def polymarket(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def tradable(markets: DataFrame) -> DataFrame:
     """Raw markets whose order book is on and takes orders; anything but a literal true is no."""
     v = F.try_parse_json("raw_frame")
-    return markets.where(F.coalesce(_get(v, "enableOrderBook", "boolean"), F.lit(False)) & F.coalesce(_get(v, "acceptingOrders", "boolean"), F.lit(False)))
+    return markets.where(_true(v, "enableOrderBook") & _true(v, "acceptingOrders"))

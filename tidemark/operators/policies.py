@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import numbered_rows
+
 
 def conflated(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
     """Per time bucket and instrument: the last tick by arrival and how many it superseded."""
@@ -29,13 +31,15 @@ def first_seen(rows: DataFrame, key: str = "id", order: str = "arrival") -> Data
 
 def numbered(events: DataFrame, by: str = "venue", order: str = "arrival") -> DataFrame:
     """seq from 1 per connector over the events that count; drop the others first."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("long"))
+    return numbered_rows(events, [by], [order], "seq")
 
 
 def gaps(ticks: DataFrame, by: str = "venue") -> DataFrame:
     """Rows whose seq is above the one expected next, with both."""
-    before = F.lag("seq").over(Window.partitionBy(by).orderBy("arrival"))
-    return ticks.withColumn("expected", before + 1).where("seq > expected").withColumnRenamed("seq", "got")
+    rows = numbered_rows(ticks, [by], ["arrival"], "_n")
+    before = rows.select(F.col(by).alias("_by"), (F.col("_n") + 1).alias("_next"), (F.col("seq") + 1).alias("expected"))
+    found = rows.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_n") == F.col("_next"))).where("seq > expected")
+    return found.drop("_n", "_by", "_next").withColumnRenamed("seq", "got")
 
 
 def counter_deltas(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -53,14 +57,14 @@ def quiet_spells(rows: DataFrame, by: str, limit_s: int = 30) -> DataFrame:
 
 def replay_offsets(frames: DataFrame, speed: float = 1.0) -> DataFrame:
     """Microseconds after its session's first frame at which a frame is due; steps back count as none."""
-    first = F.first("recv_ts").over(Window.partitionBy("venue").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0))
-    return frames.withColumn("offset_us", (F.greatest(F.unix_micros("recv_ts") - F.unix_micros(first), F.lit(0)) / speed).cast("long"))
+    first = frames.groupBy(F.col("venue").alias("_venue")).agg(F.min_by("recv_ts", "arrival").alias("_first"))
+    rows = frames.join(first, F.col("venue").eqNullSafe(F.col("_venue")))
+    return rows.withColumn("offset_us", (F.greatest(F.unix_micros("recv_ts") - F.unix_micros("_first"), F.lit(0)) / speed).cast("long")).drop("_venue", "_first")
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Number of the batch of ``size`` that a row falls in, per table."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    return numbered_rows(rows, [by], [order], "_n").withColumn("batch", F.expr(f"(_n - 1) div {size}")).drop("_n")
 
 
 def retained(batched: DataFrame, by: str, cap: int) -> DataFrame:

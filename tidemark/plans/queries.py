@@ -30,7 +30,6 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
@@ -292,7 +291,6 @@ _TITLE = "'Will ' || p_brand || ' ' || p_type || ' close above $' || (floor(p_re
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     venue = F.when(F.col("p_partkey") % 2 == 0, "kalshi").otherwise("polymarket")
     dollars = (F.floor(F.col("p_retailprice") / 100) * 100).cast("bigint").cast("string")

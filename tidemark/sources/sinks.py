@@ -22,7 +22,7 @@ def divergence_rows(events: DataFrame) -> DataFrame:
 
 def write_ticks(ticks: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Parquet by venue and day, sorted by instrument and time inside a file, so scans prune by either."""
-    rows = ticks.withColumn("day", F.to_date("recv_ts"))
+    rows = ticks.withColumn("day", F.to_date(stored_time(F.col("recv_ts"))))
     rows.repartition("venue", "day", F.pmod(F.xxhash64("instrument"), F.lit(16))).sortWithinPartitions("venue", "day", "instrument", "recv_ts").write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("venue", "day").parquet(path)
 
 

@@ -22,7 +22,8 @@ def _mid(bid, ask) -> int | None:
     if pd.isna(bid) or pd.isna(ask):
         one = ask if pd.isna(bid) else bid
         return None if pd.isna(one) else int(one) * 1
-    return (int(bid) + int(ask)) // 2
+    both = int(bid) + int(ask)
+    return (both + 1) // 2 if both >= 0 else -((1 - both) // 2)  # halves away from zero, as in prices.mid
 
 
 def stepper(threshold: str, freshness_s: int, debounce_s: int, widening: str) -> Callable:
