@@ -339,11 +339,16 @@ full_inst as (
     case when len(nt.tokens) >= 2 and (len(nt.dates) > 0 or len(nt.thresholds) > 0) then 'd:' || array_to_string(nt.dates, ',') || '|t:' || array_to_string(nt.thresholds, ',') || '|w:' || array_to_string(nt.tokens, ',') end as rule_key
   from inst i join nt on i.id = nt.id left join nd on i.id = nd.id
 )"""
-RULES = INSTRUMENTS + """, exact as (
-  select rule_key, list_sort(list(id)) as legs, any_value(combined) as combined from full_inst where rule_key is not null group by rule_key
+def _exact_sql(name: str, source: str) -> str:
+    return f""", {name} as (
+  select rule_key, list_sort(list(id)) as legs, any_value(combined) as combined from {source} where rule_key is not null group by rule_key
   having count(distinct venue) >= 2 and count(*) = count(distinct venue) and coalesce(max(close) - min(close) <= 259200, true)
 )"""
-PAIRS = RULES + """, rest as (select * from full_inst where id not in (select unnest(legs) from exact)
+
+
+def _pairs_sql(source: str) -> str:
+    """Scored pairs of what the exact matches leave of ``source``."""
+    return f""", rest as (select * from {source} where id not in (select unnest(legs) from exact)
 ), pair as (
   select a.id as a_id, b.id as b_id, a.combined as ca, b.combined as cb, a.description is not null and b.description is not null as described, a.d_combined as da, b.d_combined as db, a.close is null or b.close is null as open
   from rest a join rest b on a.id < b.id and a.venue <> b.venue
@@ -357,6 +362,20 @@ PAIRS = RULES + """, rest as (select * from full_inst where id not in (select un
 )"""
 
 
+def _greedy_sql(rounds: int = 24) -> str:
+    """``chosen``: in each round the pairs that come first for both their ends; fails if pairs are left after the last."""
+    steps = [""", l0 as materialized (select *, row_number() over (order by score desc, a_id, b_id) as k from scored where score >= 0.35)"""]
+    for r in range(rounds):
+        steps.append(f""", t{r} as materialized (select * from l{r} qualify k = min(k) over (partition by a_id) and k = min(k) over (partition by b_id)
+), l{r + 1} as materialized (select * from l{r} where a_id not in (select a_id from t{r}) and b_id not in (select b_id from t{r}))""")
+    union = " union all ".join(f"select * from t{r}" for r in range(rounds))
+    return "".join(steps) + f""", chosen as materialized (select *, case when (select count(*) from l{rounds}) > 0 then error('pairs are left') end as left_over from ({union}))"""
+
+
+RULES = INSTRUMENTS + _exact_sql("exact", "full_inst")
+PAIRS = RULES + _pairs_sql("full_inst")
+
+
 @query("with" + INSTRUMENTS + " select id, array_to_string(dates, ',') as dates, array_to_string(thresholds, ',') as thresholds, array_to_string(tokens, ',') as tokens, rule_key from full_inst")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-01 to SCL-14, FLT-14, FLT-15."""
@@ -379,24 +398,57 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidate_pairs(rest, least=0.35).withColumn("score", F.round("score", 9))
 
 
+@query("with" + PAIRS + _greedy_sql() + " select a_id, b_id, round(score, 9) as score from chosen where left_over is null")
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G11, FLT-13, SRT-02: one-to-one choice over all pairs of the shortlist. tests/ compare it with a sequential choice."""
+    """G11, FLT-13, SRT-02: one-to-one choice over all pairs of the shortlist."""
     rows = matching.cut(matching.normalized(instruments(spark, sf_dir)))
     rest = rows.join(matching.rule_pass(rows).select(F.explode("legs").alias("id")), "id", "left_anti")
     return matching.greedy_pairs(matching.candidate_pairs(rest, least=0.35)).withColumn("score", F.round("score", 9))
 
 
+# A registry before the pass: each 50th pair of neighbouring parts is active; of the exact matches, by the first leg's number,
+# a third has a review entry and a manual one of the same legs reversed, a third is rejected, a third is unknown.
+_REGISTRY_SQL = """, registry as (
+  select p_partkey as position, 'pinned-' || p_partkey as match_id, ['kalshi:' || p_partkey, 'polymarket:' || (p_partkey + 1)] as legs, 'high' as confidence, 'manual' as method, 'active' as status, 'by hand' as note
+  from part where p_partkey % 50 = 0 and p_partkey + 1 in (select p_partkey from part)
+  union all select n + 1000000, 'known-' || n, legs, 'review', 'embedding', case when n % 3 = 0 then 'review' else 'rejected' end, null::varchar from (select split_part(legs[1], ':', 2)::bigint as n, legs from whole_exact) where n % 3 < 2
+  union all select n + 2000000, 'again-' || n, [legs[2], legs[1]], 'review', 'manual', 'review', 'twice' from (select split_part(legs[1], ':', 2)::bigint as n, legs from whole_exact) where n % 3 = 0
+), free_inst as (select * from full_inst where id not in (select unnest(legs) from registry where status = 'active'))"""
+_PASS_SQL = (
+    "with recursive" + INSTRUMENTS + _exact_sql("whole_exact", "full_inst") + _REGISTRY_SQL + _exact_sql("exact", "free_inst") + _pairs_sql("free_inst") + _greedy_sql() + """, found as (
+  select legs, list_sort(combined)[1:4] as shared, 'exact' as confidence, 'rule' as method, null::varchar as note, 'active' as status from exact
+  union all select [a_id, b_id], list_sort(list_intersect(ca, cb))[1:4], 'review', 'embedding', 'lexical score ' || printf('%d.%02d', round_even(score * 100, 0)::int // 100, round_even(score * 100, 0)::int % 100), 'review' from chosen where score >= 0.55 and left_over is null
+), keyed as (select *, array_to_string(legs, '|') as key from found
+), hashed(n, h, key) as (
+  select 0, 2216829733::bigint, key from keyed union all select n + 1, (xor(h, ascii(key[n + 1])::bigint) * 435) & 4294967295, key from hashed where n < length(key)
+), old as (select *, array_to_string(list_sort(legs), '|') as key from registry
+), matched as (
+  select o.*, o.position = min(o.position) over (partition by o.key) and k.key is not null as hit, k.confidence as new_confidence, k.method as new_method, k.note as new_note, k.status as new_status from old o left join keyed k on o.key = k.key
+), judged as (select *, hit and status = 'review' and method <> 'manual' and new_confidence = 'exact' as up from matched)
+select match_id, key as legs, case when up then new_confidence else confidence end as confidence, case when up then new_method else method end as method, case when up then new_status else status end as status,
+  case when up then coalesce(new_note, note) else note end as note, case when up then 'promoted' when hit then 'skipped' end as outcome from judged
+union all
+select array_to_string(list_concat(list_transform(shared, lambda t: regexp_replace(t, '[^a-z0-9]', '-', 'g')), [lpad(lower(to_hex(h)), 8, '0')]), '-'), k.key, confidence, method, status, note, 'new'
+from keyed k join hashed on hashed.key = k.key and n = length(k.key) where k.key not in (select key from old)""")
+
+
+@query(_PASS_SQL)
 def matching_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """API-09, JON-07, JON-08, AGG-06, AGG-07: a whole pass over an empty registry. tests/ compare it with plain Python."""
+    """API-09, JON-07, JON-08, AGG-06, AGG-07: a whole pass over a registry with entries of all kinds."""
     from tidemark.schema import REGISTRY
 
-    after = matching.run_pass(instruments(spark, sf_dir), spark.createDataFrame([], REGISTRY))
+    rows = instruments(spark, sf_dir)
+    exact = matching.cut(matching.rule_pass(matching.normalized(rows)).select("legs", F.split_part(F.get("legs", F.lit(0)), F.lit(":"), F.lit(2)).cast("long").alias("n")))
+    text = lambda value: F.lit(value).cast("string")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"))
+    pinned = part.where("k % 50 = 0").join(part.select((F.col("k") - 1).alias("k")), "k").select(F.concat(F.lit("pinned-"), "k"), F.array(F.concat(F.lit("kalshi:"), "k"), F.concat(F.lit("polymarket:"), F.col("k") + 1)), F.lit("high"), F.lit("manual"), F.lit("active"), F.lit("by hand"), "k")
+    known = exact.where("n % 3 < 2").select(F.concat(F.lit("known-"), "n"), "legs", F.lit("review"), F.lit("embedding"), F.when(F.col("n") % 3 == 0, "review").otherwise("rejected"), text(None), F.col("n") + 1_000_000)
+    again = exact.where("n % 3 = 0").select(F.concat(F.lit("again-"), "n"), F.reverse("legs"), F.lit("review"), F.lit("manual"), F.lit("review"), F.lit("twice"), F.col("n") + 2_000_000)
+    names = [c.split()[0] for c in f"{REGISTRY}, position long".split(", ")]
+    after = matching.run_pass(rows, matching.cut(pinned.union(known).union(again).toDF(*names)))
     return after.select("match_id", T.legs_key(F.col("legs")).alias("legs"), "confidence", "method", "status", "note", "outcome")
 
 
-QUERIES |= {"greedy_matches": greedy_matches, "matching_pass": matching_pass}
-
-
 @query("""with recursive hashed(n, h, key) as (
   select 0, 2216829733::bigint, 'kalshi:' || p_partkey || '|polymarket:' || (p_partkey + 1) from part
   union all select n + 1, (xor(h, ascii(key[n + 1])::bigint) * 435) & 4294967295, key from hashed where n < length(key)
