@@ -80,4 +80,4 @@ def stored_time(ts: Column) -> Column:
 
 def utc(ts: Column) -> Column:
     """A time without a zone as the UTC instant."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")))
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")).cast("timestamp")

@@ -29,25 +29,29 @@ def candidates(legs: DataFrame, ticks: DataFrame, threshold: str = "0.03", fresh
     return events.withColumn("legs", F.transform("legs", lambda x: F.struct(x["instrument"], x["mid"])))
 
 
-def debounced(events: DataFrame, debounce_s: int = 10, widening: str = "0.01") -> DataFrame:
-    """The reported ones. Memory doesn't grow with a match's history."""
+def debounced(events: DataFrame, debounce_s: int = 10, widening: str = "0.01", reported: DataFrame | None = None) -> DataFrame:
+    """The reported ones. Memory doesn't grow with a match's history. ``reported``: the last report (match_id, detected_at,
+    spread) of matches before all these events."""
     wait, step = debounce_s * 1_000_000, int(Decimal(widening).scaleb(9))
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = at = spread = None
         for batch in batches:
             keep = []
-            for m, now, s in zip(*(batch.column(c).to_pylist() for c in ("match_id", "_us", "_nano")), strict=True):
+            for m, now, s, old in zip(*(batch.column(c).to_pylist() for c in ("match_id", "_us", "_nano", "_old")), strict=True):
                 if m != match:
                     match, at = m, None
                 out = at is None or now - at >= wait or s - spread >= step
                 if out:
                     at, spread = now, s
-                keep.append(out)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([c for c in batch.schema.names if c not in ("_us", "_nano")])
-
-    rows = events.withColumns({"_us": F.unix_micros("detected_at"), "_nano": (F.col("spread") * 1_000_000_000).cast("bigint")})
-    return rows.repartition("match_id").sortWithinPartitions("match_id", "arrival").mapInArrow(report, events.schema)
+                keep.append(out and not old)
+            yield batch.filter(pa.array(keep, pa.bool_())).select([c for c in batch.schema.names if c not in ("_us", "_nano", "_old")])
+
+    rows = events.withColumn("_old", F.lit(False))
+    if reported is not None:
+        rows = rows.unionByName(reported.select("match_id", "detected_at", "spread").withColumn("_old", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumns({"_us": F.unix_micros("detected_at"), "_nano": (F.col("spread") * 1_000_000_000).cast("bigint")})
+    return rows.repartition("match_id").sortWithinPartitions("match_id", F.desc("_old"), "arrival").mapInArrow(report, events.schema)
 
 
 def divergences(legs: DataFrame, ticks: DataFrame, threshold: str = "0.03", freshness_s: int = 60, debounce_s: int = 10, widening: str = "0.01") -> DataFrame:

@@ -97,6 +97,15 @@ def topic_predicate(topics: list[str], kind: Column, venue: Column, subject: Col
     return reduce(lambda a, b: a | b, wanted, F.lit(False))
 
 
+def backlog(events: DataFrame) -> DataFrame:
+    """Events (kind, key, arrival) that wait for a slow reader, in the order in which they go out: control events as they
+    came, then the last event of each key, by the first time that the key had to wait."""
+    control = events.where("kind = 'control'").select(F.lit(0).alias("turn"), F.col("arrival").alias("since"), *events.columns)
+    columns = [c for c in events.columns if c != "key"]
+    ticks = events.where("kind <> 'control'").groupBy("key").agg(F.min("arrival").alias("since"), F.max_by(F.struct(*columns), "arrival").alias("r"))
+    return control.unionByName(ticks.select(F.lit(1).alias("turn"), "since", "key", *(f"r.{c}" for c in columns))).orderBy("turn", "since").drop("turn", "since")
+
+
 def topics_after(now: list[str], subscribe: list[str] = (), unsubscribe: list[str] = ()) -> list[str]:
     return sorted((set(now) | set(subscribe)) - set(unsubscribe))
 

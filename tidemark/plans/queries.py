@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import prices as P
 from tidemark.functions import titles as T
-from tidemark.operators import book, divergence, matching, metrics, policies, views
+from tidemark.operators import adjudicate, book, divergence, matching, metrics, normalize, policies, views
+from tidemark.operators.replay import invariants, replay
+from tidemark.serving import snapshots, subscriptions
+from tidemark.sources import discovery
 from tidemark.sources.frames import event_matches, event_ticks
+from tidemark.streaming import pipeline, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY, WAIT = 24 * 3600, 6 * 3600  # freshness and debounce that suit events minutes apart
@@ -457,3 +461,207 @@ def short_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-15, SCL-16."""
     key = spark.read.parquet(f"{sf_dir}/part.parquet").select(T.legs_key(F.array(F.concat(F.lit("polymarket:"), (F.col("p_partkey") + 1).cast("string")), F.concat(F.lit("kalshi:"), F.col("p_partkey").cast("string")))).alias("key"))
     return key.select("key", T.short_hash(F.col("key")).alias("hash"))
+
+
+# Frames: events as recorded frames of two venues. Kalshi (even users): views are market snapshots, errors carry no data, the
+# others are ticker messages. Polymarket (odd users): views are markets that register two tokens, clicks are books, purchases
+# are price changes of both tokens in an array within an array, signups are trades of the no leg, errors carry no data.
+def session_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("c", F.round(F.col("value") * 100).cast("long") % 97 + 1).withColumn("u", F.col("user_id").cast("string"))
+    kind, c = F.col("event_type"), F.col("c")
+    dollars = lambda n: F.concat(F.lit("0."), F.lpad(n.cast("string"), 2, "0"))
+    js = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    name = F.concat(F.lit("K"), F.col("u"))
+    market = js(ticker=name, title=F.concat(F.lit("Title "), F.col("u")), yes_bid_dollars=F.concat(dollars(c), F.lit("00")), yes_ask=c + 1, last_price=F.concat(F.lit("x"), F.col("u")), event_type=F.lit("ignored"))
+    ticker = js(type=F.lit("ticker"), msg=F.struct(name.alias("market_ticker"), c.alias("yes_bid"), dollars(c + 2).alias("yes_ask_dollars"), dollars(c).alias("price_dollars")))
+    condition, yes, no = (F.concat(F.lit(x), F.col("u")) for x in ("0x", "y", "n"))
+    quoted = lambda *words: F.concat(F.lit('["'), F.concat_ws('","', *words), F.lit('"]'))
+    listed = js(conditionId=condition, event_type=F.lit("book"), question=F.concat(F.lit("Question "), F.col("u")), outcomes=F.when(F.col("user_id") % 4 == 1, F.lit('["No","YES"]')).otherwise(F.lit('["Yes","No"]')), clobTokenIds=F.when(F.col("user_id") % 4 == 1, quoted(no, yes)).otherwise(quoted(yes, no)), outcomePrices=F.when(F.col("user_id") % 4 == 1, quoted(F.lit("0.5"), dollars(c))).otherwise(quoted(dollars(c), F.lit("0.5"))), bestBid=dollars(c), bestAsk=F.concat(F.lit(" "), dollars(c + 1)))
+    side = lambda n: F.array(F.struct(F.lit(".01").alias("price"), F.lit("1").alias("size")), F.struct(dollars(n).alias("price"), F.lit("2").alias("size")))
+    booked = js(event_type=F.lit("book"), asset_id=yes, bids=side(c), asks=side(c + 1), timestamp=F.lit("1700000000000"))
+    change = F.concat(F.lit("[["), js(event_type=F.lit("price_change"), price_changes=F.array(F.struct(yes.alias("asset_id"), dollars(c).alias("best_bid"), dollars(c + 1).alias("best_ask")), F.struct(no.alias("asset_id"), dollars(c).alias("best_bid"), dollars(c + 1).alias("best_ask")))), F.lit("],7]"))
+    trade = js(event_type=F.lit("last_trade_price"), asset_id=no, price=dollars(c))
+    even = F.when(kind == "view", market).when(kind == "error", F.lit('{"type":"subscribed"}')).otherwise(ticker)
+    odd = F.when(kind == "view", listed).when(kind == "click", booked).when(kind == "purchase", change).when(kind == "signup", trade).otherwise(F.lit('"PONG"'))
+    is_even = F.col("user_id") % 2 == 0
+    return matching.cut(e.select(F.col("event_id").alias("frame_no"), P.utc(F.col("ts")).alias("recv_ts"), F.when(is_even, "kalshi").otherwise("polymarket").alias("venue"), F.when(is_even, even).otherwise(odd).alias("raw_frame")))
+
+
+SESSION = """
+ev as (select event_id, user_id, event_type, (round(value * 100)::bigint % 97 + 1) as c, epoch_us(ts) as now from events
+), known as (
+  select *, count(*) filter (where event_type = 'view') over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as seen from ev
+), raw as (
+  select event_id, 0 as elem, 'kalshi:K' || user_id as instrument, c / 100.0::double as bid, case when event_type = 'view' then (c + 1) / 100.0::double when c + 2 < 100 then (c + 2) / 100.0::double end as ask, case when event_type <> 'view' then c / 100.0::double end as last
+  from ev where user_id % 2 = 0 and event_type <> 'error'
+  union all select event_id, 0, 'polymarket:0x' || user_id, case when user_id % 4 <> 1 then c / 100.0::double end, case when user_id % 4 <> 1 then (c + 1) / 100.0::double end, c / 100.0::double from ev where user_id % 2 = 1 and event_type = 'view'
+  union all select event_id, 0, 'polymarket:0x' || user_id, c / 100.0::double, (c + 1) / 100.0::double, null from known where user_id % 2 = 1 and event_type = 'click' and seen > 0
+  union all select event_id, leg, 'polymarket:0x' || user_id, case leg when 0 then c / 100.0::double else (99 - c) / 100.0::double end, case leg when 0 then (c + 1) / 100.0::double else (100 - c) / 100.0::double end, null
+    from known, unnest([0, 1]) as l(leg) where user_id % 2 = 1 and event_type = 'purchase' and seen > 0
+  union all select event_id, 0, 'polymarket:0x' || user_id, null, null, (100 - c) / 100.0::double from known where user_id % 2 = 1 and event_type = 'signup' and seen > 0
+)"""
+
+
+@query("with" + SESSION + " select event_id as frame_no, instrument, row_number() over (order by event_id, elem) as seq, round(bid, 4) as bid, round(ask, 4) as ask, round(last, 4) as last from raw")
+def replayed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRM-01, NRM-05 to NRM-08, NRM-11 to NRM-15, NRM-24, FLT-04, JON-01, SET-01, SRC-12."""
+    ticks = replay(session_frames(spark, sf_dir)).ticks
+    return ticks.select("frame_no", "instrument", "seq", *(F.round(dbl(c), 4).alias(n) for c, n in (("yes_bid", "bid"), ("yes_ask", "ask"), ("last_price", "last"))))
+
+
+@query("with" + SESSION + """ select case when user_id % 2 = 0 then 'kalshi:K' else 'polymarket:0x' end || user_id as id, min(event_id) as frame_no, case when user_id % 2 = 0 then 'Title ' else 'Question ' end || user_id as title
+from ev where event_type = 'view' group by user_id""")
+def replayed_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12's instrument dedup, AGG-16."""
+    return replay(session_frames(spark, sf_dir)).instruments.select("id", F.col("arrival").alias("frame_no"), "title")
+
+
+@query("with" + SESSION + """ select (select count(distinct user_id) from ev where event_type = 'view') as instruments, (select count(*) from raw) as ticks, 0::bigint as repeated, 0::bigint as bare,
+  (select count(*) from raw where instrument like 'kalshi%' and instrument not in (select 'kalshi:K' || user_id from ev where event_type = 'view')) as unknown""")
+def session_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-18."""
+    return invariants(replay(session_frames(spark, sf_dir)))
+
+
+@query("with" + SESSION + """ select 'connected' as status, null::varchar as reason, min(now) as at_us from ev
+union all select 'disconnected', 'session ended after ' || count(*) || ' frames', max(now) from ev""")
+def replayed_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12."""
+    return replay(session_frames(spark, sf_dir)).statuses.select("status", "reason", us("at").alias("at_us"))
+
+
+@query("select event_id as frame_no from events where user_id % 3 = 0 and event_type in ('view', 'click')")
+def tradable_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-01: only the literals true and true."""
+    kind, u = F.col("event_type"), F.col("user_id") % 3
+    flag = F.when(u == 0, "true").when(u == 1, '"true"').otherwise("1")
+    other = F.when(kind.isin("view", "click"), "true").when(kind == "purchase", "false").when(kind == "signup", '"true"').otherwise("null")
+    raw = F.concat(F.lit('{"enableOrderBook":'), flag, F.lit(',"acceptingOrders":'), other, F.lit("}"))
+    return normalize.tradable(events(spark, sf_dir).select(F.col("event_id").alias("frame_no"), raw.alias("raw_frame"))).select("frame_no")
+
+
+_VERDICT = "(round(value * 100)::bigint % 140) / 100.0::double - 0.2"
+
+
+@query(f"""with v as (select user_id, event_type, event_id, row_number() over (partition by user_id order by event_id) - 1 as k, least(greatest({_VERDICT}, 0), 1) as conf, count(*) over (partition by user_id) as n from events)
+select user_id, k::bigint as k, event_type <> 'error' as same, round(conf, 4) as confidence, case when event_type <> 'error' and round(conf, 4) >= 0.9 then 'high' when event_type <> 'error' and round(conf, 4) >= 0.6 then 'review' end as band
+from v where user_id % 5 <> 3 and user_id % 5 <> 4""")
+def verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-16, SCL-21, SRT-04: replies of one verdict an event, out of order and fenced; some miss one, some aren't JSON."""
+    e = events(spark, sf_dir).select("user_id", "event_id", "event_type", (F.round(F.col("value") * 100).cast("long") % 140 / 100.0 - 0.2).alias("conf"))
+    rows = F.sort_array(F.collect_list(F.struct("event_id", "event_type", "conf")))
+    by = e.groupBy("user_id").agg(rows.alias("r"))
+    each = F.transform("r", lambda x, k: F.struct(k.alias("index"), (x["event_type"] != "error").alias("same"), F.round(x["conf"], 4).alias("confidence"), F.lit("because").alias("reason")))
+    text = F.to_json(F.reverse(F.when(F.col("user_id") % 5 == 3, F.slice(each, 2, F.size("r"))).otherwise(each)))
+    reply = F.when(F.col("user_id") % 5 == 4, F.lit("no array ] here [")).otherwise(F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```")))
+    out = by.select("user_id", F.posexplode(adjudicate.verdicts(reply, F.size("r"))).alias("k", "v"))
+    return out.select("user_id", F.col("k").cast("long").alias("k"), "v.same", F.round("v.confidence", 4).alias("confidence"), adjudicate.band(F.col("v.same"), F.round("v.confidence", 4)).alias("band"))
+
+
+@query("""with p as (select *, row_number() over (order by p_partkey) - 1 as n from part where p_partkey % 2 = 0 and p_partkey + 1 in (select p_partkey from part)),
+text as (select p.n, string_agg('  ' || s.label || ' [' || s.venue || '] ' || s.title || coalesce(chr(10) || '  ' || s.label || ' rules: ' || left(s.description, 600), ''), chr(10) order by s.label) as t from p, lateral (
+  select 'A' as label, 'kalshi' as venue, 'Part ' || p.p_name as title, case when p.p_partkey % 5 <> 0 then repeat(p.p_type || ' ', 60) end as description
+  union all select 'B', 'polymarket', 'Part ' || q.p_name, case when q.p_partkey % 5 <> 0 then repeat(q.p_type || ' ', 60) end from part q where q.p_partkey = p.p_partkey + 1) s group by p.n)
+select n // 16 as batch, count(*)::bigint as pairs, sha256(string_agg(chr(10) || 'Pair ' || n % 16 || ':' || chr(10) || t || chr(10), '' order by n)) as text_sha256 from text group by 1""")
+def adjudication_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-19, SCL-20, SRT-05: the pairs' part of each batch's prompt."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey").cast("long"))
+    venue = F.when(F.col("k") % 2 == 0, "kalshi").otherwise("polymarket")
+    rows = part.select(F.lpad("k", 12, "0").alias("id"), venue.alias("venue"), F.concat(F.lit("Part "), "p_name").alias("title"), F.when(F.col("k") % 5 != 0, F.repeat(F.concat("p_type", F.lit(" ")), 60)).alias("description"), F.lit(None).cast("timestamp").alias("close_time"))
+    keys = part.select("k").where("k % 2 = 0").join(part.select((F.col("k") - 1).alias("k")), "k")
+    pairs = keys.select(F.lpad("k", 12, "0").alias("a_id"), F.lpad((F.col("k") + 1).cast("string"), 12, "0").alias("b_id"), F.lit(0.5).alias("score"))
+    asked = adjudicate.prompts(pairs, rows, 16)
+    return asked.select("batch", F.size("pairs").cast("long").alias("pairs"), F.sha2(F.substring("prompt", len(adjudicate.TASK) + 1, 1 << 30), 256).alias("text_sha256"))
+
+
+@query("with" + QUOTES + " select row_number() over (order by instrument) as place, instrument, mid::double as mid from quote")
+def snapshot_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-01, API-02, SNK-13, NRM-23: in the order in which the snapshot gives them."""
+    rows = snapshots.instruments(ticks(spark, sf_dir)).select("instrument", dbl("mid").alias("mid")).coalesce(1)
+    return rows.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("with" + QUOTES + """ select l.match_id, max(q.yes_bid)::double as best_yes_bid, min(q.yes_ask)::double as best_yes_ask from leg l left join quote q on l.instrument = q.instrument where l.match_id in ('m3', 'm12') group by l.match_id""")
+def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API-05: two matches asked for one by one, and one that isn't there."""
+    own, all_ticks = legs(spark, sf_dir), ticks(spark, sf_dir)
+    views_of = [snapshots.match_view(own, all_ticks, m).select("match_id", dbl("best_yes_bid").alias("best_yes_bid"), dbl("best_yes_ask").alias("best_yes_ask")) for m in ("m3", "m12", "nowhere")]
+    return views_of[0].unionByName(views_of[1]).unionByName(views_of[2])
+
+
+@query("with" + TICKS + " select arrival as at, instrument from tick where arrival > (select max(arrival) - 1024 from tick) and (venue = 'kalshi' or instrument = 'polymarket:U7')")
+def subscription_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-12, SNK-14, API-07, SET-05, STR-11: what a reader that never read before gets from a ring of 1,024 events."""
+    reader = subscriptions.Subscription()
+    reader.operate('{"op": "subscribe", "topics": ["ticks:kalshi:*", "ticks:polymarket:U7", "ticks:polymarket:U9"]}')
+    reader.operate('{"op": "unsubscribe", "topics": ["ticks:polymarket:U9"]}')
+    _, frames = reader.deliver(subscriptions.tick_events(ticks(spark, sf_dir)))
+    return frames.select("at", F.get_json_object("frame", "$.data.instrument").alias("instrument"))
+
+
+@query("""with m as (select *, o_orderkey::varchar as condition, o_orderkey % 4 as tag from orders where o_orderkey % 7 <> 0),
+a as (select *, row_number() over (order by o_totalprice desc, condition) as rank from m where tag in (2, 3) and (tag = 2)),
+first as (select condition, 'two' as slug, rank from a where rank <= 60),
+b as (select condition, row_number() over (order by o_totalprice desc, condition) as rank from m where tag in (2, 1) qualify rank <= 90 - (select count(*) from first)),
+second as (select condition, 'both' as slug, rank from b where condition not in (select condition from first))
+select condition, slug, rank::int as rank from first union all select condition, slug, rank::int from second""")
+def discovered_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-07, SRC-08, SRC-09, SRT-03, WIN-08, JON-10: an unknown tag, one of few markets, one that overlaps it."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_totalprice").cast("double").alias("volume"))
+    raw = F.when(F.col("k") % 7 != 0, F.lit('{"enableOrderBook":true,"acceptingOrders":true}')).otherwise(F.lit('{"enableOrderBook":true,"acceptingOrders":"true"}'))
+    rows = o.withColumns({"condition": F.col("k").cast("string"), "raw_frame": raw})
+    few = rows.where("k % 4 = 2").orderBy(F.desc("volume"), "condition")
+    few = few.where("k % 7 <> 0").limit(60).withColumn("tag_id", F.lit("t2"))
+    both = rows.where("k % 4 in (1, 2)").withColumn("tag_id", F.lit("t12"))
+    tags = spark.createDataFrame([("two", "t2"), ("both", "t12"), ("none", "t9")], "slug string, tag_id string")
+    found = discovery.discover(["gone", "two", "both", "none"], tags, few.unionByName(both), 90)
+    return found.select("condition", "slug", F.col("rank").cast("int").alias("rank"))
+
+
+@query("""with b as (select event_type, epoch_ms(ts) // 86400000 as win, event_id, (row_number() over (partition by event_type, epoch_ms(ts) // 86400000 order by event_id) - 1) // 20 as part from events)
+select event_type, win as window, part, count(*)::bigint as rows from b group by 1, 2, 3""")
+def flush_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06, STR-09: batches sealed by size or time."""
+    rows = events(spark, sf_dir).select("event_type", "event_id", P.utc(F.col("ts")).alias("at"))
+    return store.flushes(rows, "event_type", "at", "event_id", 20, 86_400_000).groupBy("event_type", "window", "part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("with" + TICKS + """, u as (select instrument, min(arrival) as since, max(arrival) as arrival, max_by(seq, arrival) as seq from tick where event_type <> 'error' group by instrument),
+w as (select 0 as turn, arrival as since, arrival, instrument, seq from tick where event_type = 'error' union all select 1, since, arrival, instrument, seq from u)
+select row_number() over (order by turn, since) as place, instrument, arrival, seq from w""")
+def backlog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-08, STR-01: errors stand for control events."""
+    kinds = events(spark, sf_dir).select(F.col("event_id").alias("arrival"), F.when(F.col("event_type") == "error", "control").otherwise("tick").alias("kind"))
+    rows = policies.backlog(ticks(spark, sf_dir).join(kinds, "arrival").select("kind", F.col("instrument").alias("key"), "arrival", "seq")).coalesce(1)
+    return rows.select((F.monotonically_increasing_id() + 1).alias("place"), F.col("key").alias("instrument"), "arrival", "seq")
+
+
+_VERSIONS = """, version as (
+  select match_id, 0::bigint as valid_from, case when match_id in ('m1', 'm2', 'm3', 'm4') then (select max(event_id) // 3 from events) end as valid_to from (select distinct match_id from leg) where match_id not in ('m5', 'm6', 'm7')
+  union all select match_id, (select max(event_id) // 2 from events), null from (select distinct match_id from leg) where match_id in ('m1', 'm2', 'm5', 'm6', 'm7')
+)"""
+
+
+@query("with recursive" + STATES.replace("), candidate as (", "), unused as (").rsplit("), unused as (", 1)[0] + ")" + _VERSIONS + """, candidate as (
+  select s.match_id, v.valid_from, arrival, any_value(now) as now, max(s.s.mid) - min(s.s.mid) as spread, count(*) as n
+  from state s join version v on s.match_id = v.match_id and s.arrival >= v.valid_from and (v.valid_to is null or s.arrival < v.valid_to)
+  where s.s is not null and s.s.mid is not null and s.now - s.s.at < 86400000000 group by s.match_id, v.valid_from, arrival having count(*) >= 2 and max(s.s.mid) - min(s.s.mid) >= 0.03
+), numbered as (
+  select *, row_number() over (partition by match_id, valid_from order by arrival) as k from candidate
+), walk as (
+  select match_id, valid_from, k, arrival, spread, true as out, now as at, spread as last from numbered where k = 1
+  union all
+  select n.match_id, n.valid_from, n.k, n.arrival, n.spread, n.now - w.at >= 21600000000 or n.spread - w.last >= 0.01,
+    case when n.now - w.at >= 21600000000 or n.spread - w.last >= 0.01 then n.now else w.at end,
+    case when n.now - w.at >= 21600000000 or n.spread - w.last >= 0.01 then n.spread else w.last end
+  from walk w join numbered n on n.match_id = w.match_id and n.valid_from = w.valid_from and n.k = w.k + 1
+)
+select match_id, arrival, spread::double as spread from walk where out""")
+def refreshed_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07, JON-09: matches that leave, return or join while ticks come in."""
+    last = events(spark, sf_dir).agg(F.max("event_id")).first()[0]
+    own = event_matches(events(spark, sf_dir))
+    first = own.where(~F.col("match_id").isin("m5", "m6", "m7")).select("match_id", "legs", F.lit(0).cast("long").alias("valid_from"), F.when(F.col("match_id").isin("m1", "m2", "m3", "m4"), F.lit(last // 3)).cast("long").alias("valid_to"))
+    later = own.where(F.col("match_id").isin("m1", "m2", "m5", "m6", "m7")).select("match_id", "legs", F.lit(last // 2).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+    found = pipeline.versioned_divergences(first.unionByName(later), ticks(spark, sf_dir), "0.03", DAY, WAIT, "0.01")
+    return found.select("match_id", "arrival", dbl("spread").alias("spread"))

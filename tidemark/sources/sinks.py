@@ -37,6 +37,11 @@ def record(frames: DataFrame, path: str) -> None:
     frames.withColumn("v", F.col("venue")).write.mode("append").partitionBy("v").json(path)
 
 
+def session_name(venue: str, at) -> str:
+    """Name of a recorded session that began at ``at`` (UTC)."""
+    return f"{venue}-{at:%Y%m%dT%H%M%SZ}"
+
+
 def mirror_values(quotes: DataFrame, ttl_s: int = 3600) -> DataFrame:
     body = F.to_json(F.struct(*[c for c in quotes.columns if c != "mid"], mid(F.col("yes_bid"), F.col("yes_ask")).alias("mid")), {"ignoreNullFields": "false"})
     return quotes.select(F.concat(F.lit("tm:quote:"), "instrument").alias("key"), body.alias("value"), F.timestamp_micros(F.unix_micros("recv_ts") + ttl_s * 1_000_000).alias("expires_at"))

@@ -30,11 +30,11 @@ def numbered_rows(df: DataFrame, by: list[str], order: list[str | Column], name:
     ``name`` is replaced."""
     df = df.drop(name)
     dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    rows = cut(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_task", F.expr("shiftright(_at, 33)"))
-    parts = rows.groupBy(*by, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_task").alias("_of"), "_first", before.alias("_before"))
-    on = F.col("_task") == F.col("_of")
+    rows = cut(dealt.withColumn("_nr_at", F.monotonically_increasing_id())).withColumn("_nr_task", F.expr("shiftright(_nr_at, 33)"))
+    parts = rows.groupBy(*by, "_nr_task").agg(F.min("_nr_at").alias("_nr_first"), F.count(F.lit(1)).alias("_nr_n"))
+    before = F.coalesce(F.sum("_nr_n").over(Window.partitionBy(*by).orderBy("_nr_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"_nr_by{k}") for k, c in enumerate(by)), F.col("_nr_task").alias("_nr_of"), "_nr_first", before.alias("_nr_before"))
+    on = F.col("_nr_task") == F.col("_nr_of")
     for k, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_by{k}"))
-    return rows.join(parts, on).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
+        on = on & F.col(c).eqNullSafe(F.col(f"_nr_by{k}"))
+    return rows.join(parts, on).select(*df.columns, (F.col("_nr_before") + F.col("_nr_at") - F.col("_nr_first") + 1).alias(name))
