@@ -17,8 +17,8 @@ from tidemark.sources import sinks
 from tidemark.sources.frames import read_frames, replay_speed
 
 T0 = datetime(2026, 7, 18, 14, tzinfo=timezone.utc)
-K, Q = "kalshi:KXFED-26JUL", "polymarket:0xfed26jul"
-SCRIPT = [(0, K, 1, "0.40", "0.44"), (1, Q, 1, "0.36", "0.38"), (3, Q, 2, "0.355", "0.375"), (5, Q, 3, "0.35", "0.37"), (5, K, 0, "0.99", "0.99"), (16, Q, 4, "0.35", "0.37"), (86, Q, 5, "0.35", "0.37")]
+K, Q = "kalshi:RAIN-31OCT", "polymarket:0xbeef31"
+SCRIPT = [(0, K, 4, "0.61", "0.67"), (2, Q, 7, "0.55", "0.59"), (4, Q, 8, "0.545", "0.585"), (7, Q, 9, "0.54", "0.58"), (7, K, 3, "0.02", "0.03"), (18, Q, 11, "0.54", "0.58"), (90, Q, 12, "0.54", "0.58")]
 
 
 def ticks_of(spark, script):
@@ -26,18 +26,18 @@ def ticks_of(spark, script):
     return spark.createDataFrame(rows, TICK)
 
 
-def legs_of(spark, *legs, name="fed"):
+def legs_of(spark, *legs, name="rain"):
     return views.match_legs(spark.createDataFrame([(name, list(legs))], "match_id string, legs array<string>"))
 
 
 def test_scripted_pipeline(spark):
     ticks, legs = ticks_of(spark, SCRIPT), legs_of(spark, K, Q)
     out = divergence.divergences(legs, ticks).orderBy("arrival").collect()
-    assert [(r.arrival, r.spread) for r in out] == [(1, D("0.05")), (3, D("0.06")), (5, D("0.06"))]
-    assert [x.mid for x in out[0].legs] == [D("0.42"), D("0.37")]
+    assert [(r.arrival, r.spread) for r in out] == [(1, D("0.07")), (3, D("0.08")), (5, D("0.08"))]
+    assert [x.mid for x in out[0].legs] == [D("0.64"), D("0.57")]
     assert book.tick_counts(ticks).first() == (6, 1)
     view = views.match_views(legs, ticks).first()
-    assert (view.best_yes_bid, view.best_yes_ask) == (D("0.40"), D("0.37"))
+    assert (view.best_yes_bid, view.best_yes_ask) == (D("0.61"), D("0.58"))
     assert metrics.health(ticks, legs).first().asDict() == {"accepted": 6, "rejected": 1, "instruments": 2, "matches": 1}
 
 
@@ -72,7 +72,7 @@ def test_stream_equals_batch(spark, tmp_path):
     script = [(s, rng.choice([K, Q]), s + rng.choice([0, 0, -5]), f"0.{rng.randint(30, 60)}", f"0.{rng.randint(60, 70)}") for s in range(1, 120)]
     ticks, path = ticks_of(spark, script), str(tmp_path / "ticks")
     ticks.repartition(1).sortWithinPartitions("arrival").write.parquet(path)
-    matches = spark.createDataFrame([("fed", [K, Q])], "match_id string, legs array<string>")
+    matches = spark.createDataFrame([("rain", [K, Q])], "match_id string, legs array<string>")
     stream = divergence_stream(spark.readStream.schema(ticks.schema).parquet(path), matches)
     run = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
@@ -84,35 +84,38 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_prices(spark):
     rows = spark.createDataFrame([(x,) for x in [".48", "0.996", "1", "garbage", ".37", None, "1e-5"]], "x string")
     assert [r[0] for r in rows.select(P.price(F.col("x"))).collect()] == [D("0.48"), D("0.996"), D(1), None, D("0.37"), None, None]
-    one = spark.range(1).select(P.cents(F.lit(37)), P.complement(F.lit("0.42").cast("decimal(18,9)")), P.stored(F.lit("0.4400005").cast("decimal(18,9)")), P.instant(F.lit("2026-06-01")), P.instant(F.lit("2027-04-28T17:55:00Z")))
-    assert tuple(one.first()) == (D("0.37"), D("0.58"), D("0.440000"), None, datetime(2027, 4, 28, 17, 55))
+    one = spark.range(1).select(P.cents(F.lit(37)), P.complement(F.lit("0.42").cast("decimal(18,9)")), P.stored(F.lit("0.4400005").cast("decimal(18,9)")), P.instant(F.lit("2026-06-01")), P.instant(F.lit("2031-10-09T06:20:00Z")))
+    assert tuple(one.first()) == (D("0.37"), D("0.58"), D("0.440000"), None, datetime(2031, 10, 9, 6, 20))
 
 
 def test_kalshi_frames(spark):
-    market = {"ticker": "KXFED-27APR-T4.25", "title": "Fed", "yes_bid_dollars": "0.2700", "yes_ask_dollars": "0.2800", "last_price": 28, "close_time": "2027-04-28T17:55:00Z"}
-    message = {"type": "ticker", "msg": {"market_ticker": "FED-23DEC-T3.00", "price_dollars": "0.480", "yes_bid": 45, "yes_ask_dollars": "0.530", "ts_ms": 1669149841000}}
-    frames = [market, {"type": "subscribed"}, {"hello": "world"}, message, {"title": "none"}, {"ticker": "BARE"}]
+    market = {"ticker": "SNOW-32JAN-T7", "title": "Snow", "yes_bid_dollars": "0.6100", "yes_ask_dollars": "0.6400", "last_price": 63, "close_time": "2032-01-30T09:15:00Z"}
+    message = {"type": "ticker", "msg": {"market_ticker": "WIND-29MAR-T12", "price_dollars": "0.190", "yes_bid": 17, "yes_ask_dollars": "0.220", "ts_ms": 1811111111000}}
+    frames = [market, {"type": "ok"}, {"some": "thing"}, message, {"title": "no key"}, {"ticker": "ALONE"}]
     df = spark.createDataFrame([(n, T0, json.dumps(f)) for n, f in enumerate(frames)], "frame_no long, recv_ts timestamp, raw_frame string")
     sights, ticks = normalize.kalshi(df)
     got = [(r.instrument, r.yes_bid, r.yes_ask, r.last_price, r.seq) for r in ticks.orderBy("seq").collect()]
-    assert got == [("kalshi:KXFED-27APR-T4.25", D("0.27"), D("0.28"), D("0.28"), 1), ("kalshi:FED-23DEC-T3.00", D("0.45"), D("0.53"), D("0.48"), 2), ("kalshi:BARE", None, None, None, 3)]
-    assert [r.title for r in sights.orderBy("arrival").collect()] == ["Fed", "BARE"]
+    assert got == [("kalshi:SNOW-32JAN-T7", D("0.61"), D("0.64"), D("0.63"), 1), ("kalshi:WIND-29MAR-T12", D("0.17"), D("0.22"), D("0.19"), 2), ("kalshi:ALONE", None, None, None, 3)]
+    assert [r.title for r in sights.orderBy("arrival").collect()] == ["Snow", "ALONE"]
 
 
 def test_polymarket_frames(spark):
-    market = {"conditionId": "0x7c", "question": "Q?", "outcomes": '["Yes","No"]', "outcomePrices": '["0.0035","0.9965"]', "clobTokenIds": '["111","222"]', "bestBid": 0.003, "bestAsk": 0.004}
-    level = lambda *ps: [{"price": p, "size": "1"} for p in ps]
-    bookev = {"event_type": "book", "asset_id": "111", "timestamp": "1700000000000", "bids": level(".48", ".49", ".50"), "asks": level(".52", ".53", ".54")}
-    change = {"event_type": "price_change", "timestamp": "1700000000000", "price_changes": [{"asset_id": "222", "best_bid": "0.996", "best_ask": "0.997"}, {"asset_id": "111", "best_bid": "0.003", "best_ask": "0.004"}]}
-    early = {"event_type": "book", "asset_id": "111", "bids": level("0.1"), "asks": level("0.2")}
-    frames = [early, market, [bookev, change], {"event_type": "tick_size_change"}, "PONG", {"event_type": "last_trade_price", "asset_id": "222", "price": "0.9", "timestamp": "1700000000000"}]
+    market = {"conditionId": "0xa1", "event_type": "book", "question": "Q?", "outcomes": '["Yes","No"]', "outcomePrices": '["0.215","0.785"]', "clobTokenIds": '["71","72"]', "bestBid": 0.21, "bestAsk": 0.22}
+    level = lambda *ps: [{"price": p, "size": "3"} for p in ps]
+    bookev = {"event_type": "book", "asset_id": "71", "timestamp": "1800000000000", "bids": level(".31", ".32", ".33"), "asks": level(".41", ".42", ".43")}
+    change = {"event_type": "price_change", "timestamp": "1800000000000", "price_changes": [{"asset_id": "72", "best_bid": "0.802", "best_ask": "0.811"}, {"asset_id": "71", "best_bid": "0.189", "best_ask": "0.198"}]}
+    early = {"event_type": "book", "asset_id": "71", "bids": level("0.7"), "asks": level("0.8")}
+    frames = [early, [[market]], [bookev, [[change]]], {"event_type": "other"}, "PONG", {"event_type": "last_trade_price", "asset_id": "72", "price": "0.85", "timestamp": "1800000000000"}, {"conditionId": None, "event_type": "book", "asset_id": "71"}]
     df = spark.createDataFrame([(n, T0, json.dumps(f)) for n, f in enumerate(frames)], "frame_no long, recv_ts timestamp, raw_frame string")
     _, ticks, _ = normalize.polymarket(df)
     got = [(r.seq, r.yes_bid, r.yes_ask, r.last_price) for r in ticks.orderBy("seq").collect()]
-    assert got == [(1, D("0.003"), D("0.004"), D("0.0035")), (2, D("0.50"), D("0.54"), None), (3, D("0.003"), D("0.004"), None), (4, D("0.003"), D("0.004"), None), (5, None, None, D("0.1"))]
+    assert got == [(1, D("0.21"), D("0.22"), D("0.215")), (2, D("0.33"), D("0.43"), None), (3, D("0.189"), D("0.198"), None), (4, D("0.189"), D("0.198"), None), (5, None, None, D("0.15"))]
+    deep = spark.createDataFrame([(0, T0, "[" * 9 + "1" + "]" * 9)], "frame_no long, recv_ts timestamp, raw_frame string")
+    with pytest.raises(Exception, match="arrays within"):
+        normalize.polymarket(deep)[1].collect()
 
 
-TITLES = [("in jul. 2026", "dates", "2026-07"), ("ticker mentions 27APR", "dates", "2027-04"), ("by 28 April 2027", "dates", "2027-04"), ("by December 31, 2026", "dates", "2026-12"), ("above 4.25%", "thresholds", "pct:4.25"), ("0.10%", "thresholds", "pct:0.1"), ("150k", "thresholds", "num:150000"), ("1.5m barrels", "thresholds", "num:1500000"), ("1,000 points", "thresholds", "num:1000"), ("$4.50", "thresholds", "usd:4.5"), ("3 percent mortgage", "thresholds", "pct:3"), ("more than 0.0%", "thresholds", "pct:0"), ("Will the S&P-500 CLOSE higher?!", "tokens", "close,higher")]
+TITLES = [("it rains in oct. 2031", "dates", "2031-10"), ("code 29MAR of it", "dates", "2029-03"), ("by 7th March 2030", "dates", "2030-03"), ("before September 9, 2028", "dates", "2028-09"), ("beyond 7.75%", "thresholds", "pct:7.75"), ("0.30%", "thresholds", "pct:0.3"), ("72k", "thresholds", "num:72000"), ("3.2m tons", "thresholds", "num:3200000"), ("12,500 units", "thresholds", "num:12500"), ("$9.20", "thresholds", "usd:9.2"), ("9 percent tax", "thresholds", "pct:9"), ("below 0.00%", "thresholds", "pct:0"), ("$4bn and 2b", "thresholds", "num:2000000000,usd:4000000000"), ("Is the Q&A-SHOW longer?!", "tokens", "longer,show")]
 
 
 def test_titles(spark):
@@ -129,12 +132,12 @@ def fnv(text):
     return h
 
 
-def contracts(spark, fed="4.25"):
+def contracts(spark, level="7.75"):
     rows = [
-        ("kalshi:KXCPI-26JUL-T0.0", "kalshi", "Will CPI rise more than 0.0% in July 2026?", datetime(2026, 8, 12, 12)),
-        ("polymarket:0xcpi26jul", "polymarket", "Will CPI rise more than 0.0% in Jul 2026", datetime(2026, 8, 12)),
-        ("kalshi:KXFED-27APR-T4.25", "kalshi", "Will the upper bound of the federal funds rate be above 4.25% following the Fed's Apr 28, 2027 meeting?", datetime(2027, 4, 28, 18)),
-        ("polymarket:0xfed425", "polymarket", f"Will the Fed keep the federal funds rate above {fed}% after its April 2027 meeting?", datetime(2027, 4, 28, 23, 59)),
+        ("kalshi:TAX-31OCT-T3", "kalshi", "Will the salt tax exceed 3.0% in October 2031?", datetime(2031, 11, 4, 12)),
+        ("polymarket:0xsalt31", "polymarket", "Will the salt tax exceed 3% in Oct 2031", datetime(2031, 11, 4)),
+        ("kalshi:RATE-30MAR-T7.75", "kalshi", "Will the lower edge of the harbour loan rate be beyond 7.75% following the council's Mar 14, 2030 session?", datetime(2030, 3, 14, 18)),
+        ("polymarket:0xrate775", "polymarket", f"Will the council set the harbour loan rate beyond {level}% after its March 2030 session?", datetime(2030, 3, 14, 23, 59)),
     ]
     return spark.createDataFrame([(i, v, t, None, c, None, "{}") for i, v, t, c in rows], INSTRUMENT)
 
@@ -143,18 +146,18 @@ def test_matching_pass(spark):
     first = matching.cut(matching.run_pass(contracts(spark), spark.createDataFrame([], REGISTRY)))
     assert matching.report(first).first() == (2, 0, 0)
     got = {r.status: r for r in first.collect()}
-    assert got["active"].confidence == "exact" and got["review"].note.startswith("lexical score 0.6")
+    assert got["active"].confidence == "exact" and got["review"].note.startswith("lexical score 0.")
     again = matching.run_pass(contracts(spark), first.drop("outcome"))
     assert matching.report(again).first() == (0, 0, 1)
-    other = matching.run_pass(contracts(spark, "4.50"), spark.createDataFrame([], REGISTRY))
+    other = matching.run_pass(contracts(spark, "8.25"), spark.createDataFrame([], REGISTRY))
     assert [r.confidence for r in other.collect()] == ["exact"]
 
 
 @pytest.mark.parametrize(("status", "method", "want"), [("rejected", "rule", (0, 0, 1)), ("review", "manual", (0, 0, 1)), ("review", "embedding", (0, 1, 0))])
 def test_registry_merge(spark, status, method, want):
-    legs = ["kalshi:KXCPI-26JUL-T0.0", "polymarket:0xcpi26jul"]
+    legs = ["kalshi:TAX-31OCT-T3", "polymarket:0xsalt31"]
     old = spark.createDataFrame([("kept", legs, "review", method, status, None)], REGISTRY)
-    after = matching.cut(matching.run_pass(contracts(spark).where("id like '%pi%' or id like '%CPI%'"), old))
+    after = matching.cut(matching.run_pass(contracts(spark).where("id like '%salt%' or id like '%TAX%'"), old))
     assert matching.report(after).first() == want and after.first().match_id == "kept"
 
 
@@ -203,9 +206,9 @@ def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
     assert sorted((r.batch, r.kept) for r in kept.collect()) == [(0, False), (1, False), (2, True), (3, True)]
-    event = spark.createDataFrame([("tick", "kalshi", "kalshi:FED-26JUL"), ("divergence", None, "fed-26jul")], "k string, v string, s string")
+    event = spark.createDataFrame([("tick", "kalshi", "kalshi:RAIN-31OCT"), ("divergence", None, "rain-31oct")], "k string, v string, s string")
     hits = lambda *t: event.where(policies.topic_predicate(list(t), F.col("k"), F.col("v"), F.col("s"))).count()
-    assert [hits("ticks:*"), hits("ticks:kalshi:*"), hits("ticks:kalshi:FED-26JUL"), hits("ticks:kalshi:OTHER"), hits("divergence:fed-26jul"), hits()] == [1, 1, 1, 0, 1, 0]
+    assert [hits("ticks:*"), hits("ticks:kalshi:*"), hits("ticks:kalshi:RAIN-31OCT"), hits("ticks:kalshi:OTHER"), hits("divergence:rain-31oct"), hits()] == [1, 1, 1, 0, 1, 0]
     assert [config.backoff(n) for n in range(8)] == [0.5, 1, 2, 4, 8, 16, 30, 30]
     assert replay_speed("MAX") is None and replay_speed("2") == 2
     with pytest.raises(ValueError):

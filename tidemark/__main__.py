@@ -26,7 +26,7 @@ from tidemark.streaming.store import Store, parquet
 
 def shown_price(price: Column) -> Column:
     """A price as a column of a terminal; a dash where there is none."""
-    return F.lpad(F.coalesce(F.format_string("%.4f", price.cast("double")), F.lit("—")), 7, " ")
+    return F.lpad(F.when(price.isNull(), "—").otherwise(F.format_string("%.4f", price.cast("double"))), 7, " ")
 
 
 def shown_age(ms: Column) -> Column:
@@ -35,8 +35,8 @@ def shown_age(ms: Column) -> Column:
 
 
 def tick_lines(ticks: DataFrame) -> DataFrame:
-    age = F.greatest(F.unix_millis("recv_ts") - F.unix_millis("venue_ts"), F.lit(0))
-    columns = [F.rpad(F.col("venue"), 10, " "), F.rpad(native_id(F.col("instrument")), 32, " "), *(shown_price(F.col(c)) for c in ("yes_bid", "yes_ask", "last_price")), F.coalesce(shown_age(age), F.lit("—"))]
+    age = F.when(F.col("venue_ts").isNotNull(), F.greatest(F.unix_millis("recv_ts") - F.unix_millis("venue_ts"), F.lit(0)))
+    columns = [F.rpad(F.col("venue"), 10, " "), F.rpad(native_id(F.col("instrument")), 32, " "), *(shown_price(F.col(c)) for c in ("yes_bid", "yes_ask", "last_price")), F.when(age.isNull(), "—").otherwise(shown_age(age))]
     return ticks.select("seq", F.concat_ws(" ", *columns).alias("line")).orderBy("seq")
 
 
