@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.prices import PRICE, cents, complement, instant, instrument_id, last_price_of, millis, oriented, price, string_list, yes_index
 from tidemark.operators.policies import numbered
 
-_NESTED = 4  # arrays in arrays that a frame may have
+_NESTED = 2  # arrays in arrays that a frame may have
 EVENT = ["frame_no", "elem", "instrument", "venue", "yes_bid", "yes_ask", "last_price", "venue_ts", "recv_ts"]
 
 

@@ -665,3 +665,33 @@ def refreshed_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = own.where(F.col("match_id").isin("m1", "m2", "m5", "m6", "m7")).select("match_id", "legs", F.lit(last // 2).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
     found = pipeline.versioned_divergences(first.unionByName(later), ticks(spark, sf_dir), "0.03", DAY, WAIT, "0.01")
     return found.select("match_id", "arrival", dbl("spread").alias("spread"))
+
+
+#: Titles of all forms, and what they hold, written out beside each other: {n} is a number, {y} a year of two digits.
+_FORMS = (
+    ("Will tax top {n}.50% by the 7th March 20{y}", "20{y}-03", "pct:{n}.5", "tax,top"),
+    ("Output over 1,{n}0k tons on 9 Sept. 20{y}?", "20{y}-09", "num:1{n}0000", "output,over,tons"),
+    ("A price of $ {n}.25m or $1bn in {y}OCT", "20{y}-10", "usd:1000000000,usd:{n}250000", "price"),
+    ("Index-level above {n} percent, not 2.0, on December 31, 20{y}", "20{y}-12", "num:2,pct:{n}", "above,index,level,not"),
+    ("No anchors here: rain & snow", "", "", "anchors,here,no,rain,snow"),
+    ("{n}b barrels and ${n}", "", "num:{n}000000000,usd:{n}", "barrels"),
+)
+
+
+def _forms_sql() -> str:
+    fill = lambda text: "'" + text.replace("'", "''").replace("{n}", "' || (p_partkey % 90 + 10) || '").replace("{y}", "' || (p_size % 60 + 30) || '") + "'"
+    of = lambda k: "case p_partkey % 6 " + " ".join(f"when {i} then {fill(f[k])}" for i, f in enumerate(_FORMS)) + " end"
+    keyed = "case when p_partkey % 6 not in (2, 4, 5) then 'd:' || dates || '|t:' || thresholds || '|w:' || tokens end"
+    return f"select id, dates, thresholds, tokens, {keyed} as rule_key from (select p_partkey, p_partkey as id, {of(1)} as dates, array_to_string(list_sort(string_split({of(2)}, ',')), ',') as thresholds, {of(3)} as tokens from part)"
+
+
+@query(_forms_sql())
+def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-02 to SCL-13, FLT-14, FLT-15: expected values are written out, no expression is shared with the engine."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    n, y = (F.col("p_partkey") % 90 + 10).cast("string"), (F.col("p_size") % 60 + 30).cast("string")
+    title = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        title = F.when(F.col("p_partkey") % 6 == k, F.replace(F.replace(F.lit(form[0]), F.lit("{n}"), n), F.lit("{y}"), y)).otherwise(title)
+    rows = part.select(F.col("p_partkey").alias("id"), title.alias("title"), F.lit(None).cast("string").alias("description"))
+    return matching.normalized(rows).select("id", *(F.array_join(c, ",").alias(c) for c in ("dates", "thresholds", "tokens")), "rule_key")
