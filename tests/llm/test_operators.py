@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tidemark.llm import jpeg, lines, minhash, pieces, quality, secrets, stages, suffixes, templates, tokens, warc
+from tidemark.llm import bytehash, jpeg, lines, minhash, pieces, quality, secrets, shared, stages, suffixes, templates, tokens, warc
 from tidemark.llm import words as kept_words
 from tidemark.llm.queries import vocabulary
 
@@ -655,6 +655,165 @@ def test_jpeg_equals_a_plain_decoder(monkeypatch):
         assert jpeg.thumbnail_hash(jpeg.thumbnail(picture, blocks)) == f"{int(''.join(str(int(c > mean)) for c in cells), 2):016x}"
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """One long row in pieces gives what it gives whole: shingles, features, lines, template windows."""
+    rng = random.Random(11)
+    words = ["Tom", "has", "5km", "of", "red.", "12", "miles", "Ünder", "-", "the", "x" * 300, "hill", "3rd", "***", "two", "hours"]
+    text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", ".\n\n", " \t"]) for _ in range(6000))
+    column, one = pa.array([text]), pa.RecordBatch.from_arrays([pa.array([4]), pa.array([9]), pa.array([text])], names=["doc_id", "tag", "text"])
+    data, ends = shared.buffer_of(column)
+    wanted = np.unique(templates.windows(data, ends, 5, [2])[0][::3])
+    order = ["hash", "pos", "n"]
+
+    def all_of():
+        line = pa.Table.from_batches(lines._line_rows(2)(iter([one]))).sort_by("pos").to_pydict()
+        found = pa.Table.from_batches(templates._emit(5, "doc_id", wanted, [2])(iter([one]))).sort_by([(c, "ascending") for c in order]).to_pydict()
+        return [x.tolist() for x in bytehash.distinct(*bytehash.shingles(data, ends, 5))], quality.tally(data).tolist(), line, found
+
+    whole = all_of()
+    assert whole[1] == np.bincount(quality.cells(data, ends)[1], minlength=len(whole[1])).tolist()
+    for size in (1000, 7000):
+        for module in (bytehash, quality):
+            monkeypatch.setattr(module, "LONG", size)
+        assert len(bytehash.pieces(data, ends)) > 3
+        assert all_of() == whole
+
+
+def test_memory_of_a_long_text():
+    """A text of 24 MB: what each kernel needs beside the text."""
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from tidemark.llm import bytehash, lines, minhash, quality, templates
+rng = np.random.default_rng(0)
+words = np.array([f"w{n}" for n in range(5000)])
+text = " ".join(words[rng.integers(0, 5000, 4_200_000)].tolist())
+column = pa.array([text]); n = len(text); del text
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), column], names=["doc_id", "tag", "text"])
+data, ends = np.frombuffer(column.buffers()[2], np.uint8)[:n], np.array([0, n])
+top = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+start = top()
+{work}
+print(n / 1e6, top() - start)
+"""
+    import subprocess
+    import sys
+
+    works = {
+        "shingles": ("minhash.signatures(*bytehash.distinct(*bytehash.shingles(data, ends, 5)), 1)", 400),
+        "lines": ("list(lines._line_rows(1)(iter([batch])))", 150),
+        "features": ("quality.tally(data)", 300),
+        "templates": ("list(templates._emit(5, 'doc_id', np.zeros(1, np.uint64), [])(iter([batch])))", 500),
+    }
+    for name, (work, most) in works.items():
+        out = subprocess.run([sys.executable, "-c", code.replace("{work}", work)], capture_output=True, text=True, check=True).stdout.split()
+        assert float(out[0]) > 23 and float(out[1]) < most, (name, out)
+
+
+def test_quality_equals_plain_votes(spark):
+    """Scores against a plain vote over the fitted vectors, a text at a time, in Python floats."""
+    rng = random.Random(13)
+    say = lambda pool, n: " ".join(rng.choice(pool) for _ in range(n))
+    good, bad = ["river", "stone", "Hill,", "the", "of", "night."], ["BUY!!", "the***", "NOW!!", "river", "$$$"]
+    made = [(n, say(good if n % 2 else bad, rng.randint(0, 60)) + (" éclair" if n % 5 == 0 else "")) for n in range(240)] + [(5, "river of stone"), (None, "BUY!! NOW!!"), (7, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(240)] + [(3, 0), (3, 0), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, most=150, dims=8, k=7)
+    assert len(model.votes) <= 150
+    got = [(r.doc_id, r.text, r.score) for r in quality.with_scores(docs, model).collect()]
+    for _, text, score in got:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        features = quality.cells(data, np.array([0, len(data)]))[1].tolist()
+        count = {f: features.count(f) for f in features}
+        parts = [{f: np.log1p(c) for f, c in count.items() if (f < 4096) == first} for first in (True, False)]
+        vector = np.zeros(model.project.shape[1])
+        for part in parts:
+            length = sum(v * v for v in part.values()) ** 0.5
+            for f, v in part.items():
+                vector += v / length * model.project[f].astype(float)
+        length = float((vector**2).sum()) ** 0.5
+        if length < 1e-6:
+            want = model.prior
+        else:
+            near = sorted(((float((vector / length * v).sum()), float(vote)) for v, vote in zip(model.vectors.astype(float), model.votes, strict=True)), reverse=True)[: model.k]
+            weight = [min(1, max(0, s)) ** model.power for s, _ in near]
+            want = (sum(w * v for w, (_, v) in zip(weight, near, strict=True)) + 1e-3 * model.prior) / (sum(weight) + 1e-3)
+        assert score == pytest.approx(want, abs=2e-3), text
+    assert {r.score for r in quality.with_scores(docs.where("text is null"), model).collect()} == {model.prior}
+
+
+def plain_leaks(doc, item, size=5, percent=80):
+    """Template leaks of texts without opening names or joined units, in plain Python: words, slots, windows, runs."""
+    numbers, units = set(templates.NUMBERS.split()), set(templates.UNITS.split())
+
+    def words_of(text):
+        out, opens, before = [], True, None
+        for raw in text.split():
+            w = raw.strip(".,!?")
+            kind = "#" if w.isdigit() or w.lower() in numbers else "@" if w[0].isupper() and not opens else "%" if before == "#" and w.lower() in units else None
+            out.append((w.lower(), kind))
+            opens, before = raw[-1] in ".!?", kind
+        return out
+
+    a, b = words_of(doc), words_of(item)
+    shape = lambda w: tuple(kind or word for word, kind in w)
+    fit = [j for j in range(len(b) - size + 1) if sum(k is not None for _, k in b[j : j + size]) <= size - 2]
+    best = 0
+    for shift in range(-len(b), len(a) + 1):
+        at = [j for j in fit if 0 <= j + shift <= len(a) - size and shape(a[j + shift : j + shift + size]) == shape(b[j : j + size])]
+        said = {}
+        for j in at:
+            for (x, kind), (y, _) in zip(a[j + shift : j + shift + size], b[j : j + size], strict=True):
+                if kind:
+                    said.setdefault(y, set()).add(x)
+        steady = all(len(v) == 1 for v in said.values())
+        best = max(best, len([j for j in at if steady or a[j + shift : j + shift + size] == b[j : j + size]]))
+    return best * 100 >= percent * len(fit) and best > 0
+
+
+def test_templates_equal_plain_python(spark):
+    """Random questions and changed copies of them, each pair by brute force over all shifts."""
+    rng = random.Random(17)
+    plain = "a man sold some of his old green books and then walked along that river to meet another trader near this quiet bridge".split()
+
+    def sentence(n):
+        out = ["the"]
+        while len(out) < n:
+            out += rng.choice([[rng.choice(plain)], [rng.choice(plain)], [rng.choice(plain)], [str(rng.randint(2, 99)), rng.choice(["km", "hours", "kg"])], [rng.choice(["Anna", "Peter", "Maria"])]])
+        return out
+
+    items, docs = [], []
+    for k in range(30):
+        words = sentence(24)
+        items.append((k, " ".join(words)))
+        values, copy = {}, []
+        broken = rng.random() < 0.3
+        for w in words:
+            if w.isdigit():
+                w = str(rng.randint(100, 999)) if broken else values.setdefault(w, str(100 + len(values)))
+            elif w in ("Anna", "Peter", "Maria"):
+                w = values.setdefault(w, ["Otto", "Lena", "Karl"][len([v for v in values.values() if v.isalpha()]) % 3])
+            elif rng.random() < rng.choice([0, 0, 0.15]):
+                w = "changed"
+            copy.append(w)
+        docs.append((100 + k, " ".join(["some", "words", "before", "it", *copy, "and", "after"])))
+    docs += [(900, None), (901, ""), (902, items[0][1]), (902, items[0][1]), (None, items[1][1])]
+    want = {(d, i) for d, t in docs if t for i, q in items if plain_leaks(t, q)}
+    frame = spark.createDataFrame([(*r, "x", "y") for r in docs], "doc_id long, text string, tag string, item_id string")
+    for small in (4_000_000, 0):
+        got = [(r.doc_id, r.item_id) for r in templates.leaks(frame, spark.createDataFrame(items, "item_id long, text string"), small=small).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert 10 < len(want) < 60
+
+
+def test_warc_repeats_and_nulls(spark):
+    """Repeated rows, null ids and equal payloads without an id."""
+    big = "z" * 1200
+    made = [(1, "u", big), (1, "u", big), (2, "v", big), (None, "w", big), (None, "q", "y" * 1500), (None, "r", "y" * 1500), (3, None, None), (3, "other", None)]
+    out = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.capture_report(spark.createDataFrame(made, "page_id long, url string, html string")).collect())
+    assert out == [(False, 1, 1200, "revisit", 2), (False, 1, 1200, "revisit", 2), (False, 2, 1200, "response", 0), (False, 3, 0, "response", 0), (False, 3, 0, "response", 0), (True, 0, 1200, "revisit", 2), (True, 0, 1500, "response", 0), (True, 0, 1500, "response", 0)]
+
+
 STAGES = {
     "keep_good": lambda d: stages.keep_good(d, d.sparkSession.createDataFrame([(n, 1) for n in range(20)], "doc_id long, quality int")),
     "drop_common_lines": lambda d: stages.drop_common_lines(d, 10, 1),

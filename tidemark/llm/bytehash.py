@@ -11,6 +11,7 @@ import numpy as np
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _LOW = 1 << 12
 _BLOCK = 64 * _LOW
+LONG = 4 << 20  # bytes of a text beyond which it is gone through in pieces
 
 
 def _numbers(seed: int, n: int) -> np.ndarray:
@@ -92,13 +93,45 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(ends, starts, "right") - 1
 
 
+def pieces(data: np.ndarray, ends: np.ndarray, mark: np.ndarray = SPACE) -> list[tuple[int, int]]:
+    """Bounds of parts of the buffer that are worked on at once: all of it, or for one long row parts of about ``LONG`` bytes
+    that end before a marked byte (without one, later)."""
+    if len(ends) != 2 or len(data) <= LONG:
+        return [(0, len(data))]
+    out, at = [], 0
+    while at < len(data):
+        to = at + LONG
+        while to < len(data):
+            found = np.flatnonzero(mark[data[to : to + LONG]])
+            if len(found):
+                to += int(found[0])
+                break
+            to += LONG
+        out.append((at, min(to, len(data))))
+        at = out[-1][1]
+    return out
+
+
+def word_hashes(low: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word."""
+    parts = pieces(low, ends)
+    if len(parts) == 1:
+        starts, stops, rows = words(low, ends)
+        return Prefix(low).of(starts, stops) if len(starts) else np.zeros(0, np.uint64), rows
+    found = []
+    for a, b in parts:
+        part = low[a:b]
+        starts, stops, _ = words(part, np.array([0, b - a]))
+        found.append(Prefix(part).of(starts, stops))
+    each = np.concatenate(found)
+    return each, np.zeros(len(each), np.int64)
+
+
 def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each run of ``size`` words; a row of fewer words gives one of all its words."""
-    low = lowered(data)
-    starts, stops, rows = words(low, ends)
-    if not len(starts):
+    each, rows = word_hashes(lowered(data), ends)
+    if not len(each):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    each = Prefix(low).of(starts, stops)
     odd = _numbers(77, size) | np.uint64(1)
     count = np.bincount(rows, minlength=len(ends) - 1)
     found, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -123,6 +156,9 @@ def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def distinct(found: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each (row, hash) once, sorted by row, then hash."""
+    if len(owner) and owner[0] == owner[-1]:
+        found = np.unique(found)
+        return found, np.full(len(found), owner[0])
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)

@@ -26,36 +26,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytehash import SPACE, Prefix, lowered
+from tidemark.llm.bytehash import SPACE, Prefix, lowered, pieces
 from tidemark.llm.shared import buffer_of, chunks, keyed, tidy, written
 
+_BREAK = np.zeros(256, bool)
+_BREAK[10] = True
 _LINE = "h1 long, h2 long, doc_id long, tag long, pos int"
 _MARK = "kind int, h1 long, h2 long, doc_id long, tag long, pos int, n long"
 
 
+def _lines(data: np.ndarray, ends: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
+    """Row and position of each line with a key of ``min_chars`` code points and more, the key's hashes, and all lines' number."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([ends[:-1], breaks + 1]))
+    stops = np.sort(np.concatenate([ends[1:], breaks]))
+    counts = np.diff(np.searchsorted(breaks, ends)) + 1
+    owner = np.repeat(np.arange(len(counts)), counts)
+    pos = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+    full = np.flatnonzero(~SPACE[data])
+    low, high = np.searchsorted(full, starts), np.searchsorted(full, stops)
+    good = np.flatnonzero(high > low)
+    start, stop = full[low[good]], full[high[good] - 1] + 1
+    del full
+    if min_chars > 1:
+        points = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        long = points[stop] - points[start] >= min_chars
+        start, stop, good = start[long], stop[long], good[long]
+    text = lowered(data)
+    return owner[good], pos[good], [Prefix(text, k).of(start, stop) for k in range(2)], len(starts)
+
+
 def _line_rows(min_chars: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, ends = buffer_of(batch.column("text"))
-            breaks = np.flatnonzero(data == 10)
-            starts = np.sort(np.concatenate([ends[:-1], breaks + 1]))
-            stops = np.sort(np.concatenate([ends[1:], breaks]))
-            counts = np.diff(np.searchsorted(breaks, ends)) + 1
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            pos = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-            full = np.flatnonzero(~SPACE[data])
-            low, high = np.searchsorted(full, starts), np.searchsorted(full, stops)
-            good = high > low
-            start, stop = full[low[good]], full[high[good] - 1] + 1
-            if min_chars > 1:
-                points = np.zeros(len(data) + 1, np.int64)
-                np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-                long = points[stop] - points[start] >= min_chars
-                start, stop, good = start[long], stop[long], np.flatnonzero(good)[long]
-            text = lowered(data)
-            hashes = [pa.array(Prefix(text, k).of(start, stop).view(np.int64)) for k in range(2)]
-            at = pa.array(owner[good])
-            yield pa.RecordBatch.from_arrays([*hashes, batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(pos[good].astype(np.int32))], names=["h1", "h2", "doc_id", "tag", "pos"])
+            before = 0
+            for a, b in pieces(data, ends, _BREAK):  # a long text's pieces end before a line break, whose line is the next one
+                part, own = (data, ends) if (a, b) == (0, len(data)) else (data[a:b], np.array([0, b - a]))
+                owner, pos, hashes, n = _lines(part, own, min_chars)
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array((pos + before).astype(np.int32))], names=["h1", "h2", "doc_id", "tag", "pos"])
+                before += n - 1
 
     return rows
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytehash import Prefix, lowered, words
+from tidemark.llm.bytehash import LONG, Prefix, lowered, pieces, words
 from tidemark.llm.shared import buffer_of, chunks, tidy
 
 _WORDS, _SHAPES = 4096, 1024
@@ -54,10 +54,22 @@ def cells(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([rows, rows]), np.concatenate([word, shape])
 
 
+def tally(data: np.ndarray) -> np.ndarray:
+    """How often each feature is found in one long text, gone through in pieces."""
+    out = np.zeros(_WORDS + _SHAPES, np.int64)
+    for a, b in pieces(data, np.array([0, len(data)])):
+        out += np.bincount(cells(data[a:b], np.array([0, b - a]))[1], minlength=len(out))
+    return out
+
+
 def counted(row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
     """Damped counts: the logarithm, with the words' and the shapes' parts of length 1 each."""
     width = _WORDS + _SHAPES
-    out = np.log1p(np.bincount(row * width + feature, minlength=n * width).astype(np.float32).reshape(n, width))
+    return damped(np.bincount(row * width + feature, minlength=n * width).astype(np.float32).reshape(n, width))
+
+
+def damped(counts: np.ndarray) -> np.ndarray:
+    out, width = np.log1p(counts), _WORDS + _SHAPES
     for a, b in ((0, _WORDS), (_WORDS, width)):
         length = np.sqrt((out[:, a:b] ** 2).sum(1, keepdims=True))
         out[:, a:b] /= np.where(length > 0, length, 1)
@@ -81,23 +93,33 @@ class Model:
     def score(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(ends) - 1
         out = np.full(n, self.prior)
+        if not len(self.votes):
+            return out
+        if n == 1 and len(data) > LONG:
+            many = tally(data)
+            feature = np.flatnonzero(many)
+            return self._voted(damped(many[None, :].astype(np.float32))) if len(feature) else out
         row, feature = cells(data, ends)
-        if not len(row) or not len(self.votes):
+        if not len(row):
             return out
         order = np.argsort(row, kind="stable")
         row, feature = row[order], feature[order]
         for at in range(0, n, _ROWS):
             to = min(n, at + _ROWS)
             a, b = np.searchsorted(row, [at, to])
-            own = self.embed(counted(row[a:b] - at, feature[a:b], to - at))
-            near = own @ self.vectors.T
-            k = min(self.k, near.shape[1])
-            top = np.argpartition(near, near.shape[1] - k, 1)[:, near.shape[1] - k :]
-            weight = np.clip(np.take_along_axis(near, top, 1), 0, 1).astype(np.float64) ** self.power
-            some = (own != 0).any(1)
-            small = 1e-3
-            out[at:to] = np.where(some, ((weight * self.votes[top]).sum(1) + small * self.prior) / (weight.sum(1) + small), self.prior)
-        return np.clip(out, 0, 1)
+            out[at:to] = self._voted(counted(row[a:b] - at, feature[a:b], to - at))
+        return out
+
+    def _voted(self, counts: np.ndarray) -> np.ndarray:
+        """The neighbours' votes on damped counts; the prior where there is nothing to compare."""
+        own = self.embed(counts)
+        near = own @ self.vectors.T
+        k = min(self.k, near.shape[1])
+        top = np.argpartition(near, near.shape[1] - k, 1)[:, near.shape[1] - k :]
+        weight = np.clip(np.take_along_axis(near, top, 1), 0, 1).astype(np.float64) ** self.power
+        small = 1e-3
+        votes = ((weight * self.votes[top]).sum(1) + small * self.prior) / (weight.sum(1) + small)
+        return np.clip(np.where((own != 0).any(1), votes, self.prior), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, dims: int = 48, k: int = 15) -> Model:
@@ -110,9 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, ends = buffer_of(batch.column("text"))
-            row, feature = cells(data, ends)
             width = _WORDS + _SHAPES
-            cell, n = np.unique(row * width + feature, return_counts=True)
+            if batch.num_rows == 1 and len(data) > LONG:
+                many = tally(data)
+                cell = np.flatnonzero(many)
+                n = many[cell]
+            else:
+                row, feature = cells(data, ends)
+                cell, n = np.unique(row * width + feature, return_counts=True)
             at = np.searchsorted(cell // width, np.arange(batch.num_rows + 1))
             packed = [np.stack([cell[a:b] % width, n[a:b]]).astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("vote"), pa.array(packed, pa.binary())], names=["doc_id", "vote", "cells"])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytehash import Prefix, _numbers, lowered, mix, words
+from tidemark.llm.bytehash import Prefix, _numbers, lowered, mix, pieces, words
 from tidemark.llm.shared import buffer_of, chunks, keyed, tidy
 
 # fixed values
@@ -140,8 +140,38 @@ def windows(data: np.ndarray, ends: np.ndarray, size: int, short: list[int] | No
     return mix(sums), rows[at], at, length, chosen, fit, (slot, rows, start, stop)
 
 
+def _reach(data: np.ndarray, at: int, need: int, back: bool) -> int:
+    """The place, before or after ``at``, up to which there are ``need`` words with a letter or digit; or the buffer's end."""
+    size = 1 << 14
+    while True:
+        low, high = (max(0, at - size), at) if back else (at, min(len(data), at + size))
+        if (low == 0) if back else (high == len(data)):
+            return low if back else high
+        full = np.concatenate([[0], np.cumsum(_LETTER[data[low:high]] | _DIGIT[data[low:high]])])
+        starts, stops, _ = words(data[low:high], np.array([0, high - low]))
+        cut = 1 if back else 0  # the word at the far end may be part of one
+        starts, stops = (starts[cut:], stops[cut:]) if back else (starts[:-1], stops[:-1])
+        good = np.flatnonzero(full[stops] > full[starts])
+        if len(good) >= need:
+            return low + int(starts[good[-need]]) if back else low + int(stops[good[need - 1]])
+        size *= 2
+
+
+def _parts(data: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """A buffer of rows as it is, or a long row in parts, each with the words around that its windows need: data, row ends, and
+    the range in which the part's own words begin."""
+    cuts = pieces(data, ends)
+    if len(cuts) == 1:
+        yield data, ends, 0, len(data) + 1
+        return
+    for a, b in cuts:
+        low, high = _reach(data, a, 3, True), _reach(data, b, 2 * size, False)
+        yield data[low:high], np.array([0, high - low]), a - low, b - low
+
+
 def _emit(size: int, id_column: str, wanted: np.ndarray | None, short: list[int] | None = None):
-    """Rows (id, tag, hash, pos, n, fit, slots, open) of all windows, or of those in the sorted hashes ``wanted``."""
+    """Rows (id, tag, hash, pos, n, fit, slots, open) of all windows, or of those in the sorted hashes ``wanted``. Long texts are
+    gone through in parts, unless short rows of unknown length are asked for."""
     marks = None
     if wanted is not None:
         marks = np.zeros(1 << 22, bool)
@@ -149,22 +179,27 @@ def _emit(size: int, id_column: str, wanted: np.ndarray | None, short: list[int]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            data, ends = buffer_of(batch.column("text"))
-            found, row, at, length, chosen, fit, (slot, owner, start, stop) = windows(data, ends, size, short)
-            if wanted is not None and len(found):
-                ok = np.flatnonzero(marks[found & np.uint64(len(marks) - 1)])
-                ok = ok[_among(found[ok], wanted)] if len(wanted) else ok[:0]
+            whole, all_ends = buffer_of(batch.column("text"))
+            before = 0  # words of a long text before the part
+            for data, ends, low, high in [(whole, all_ends, 0, len(whole) + 1)] if short is None else _parts(whole, all_ends, size):
+                found, row, at, length, chosen, fit, (slot, owner, start, stop) = windows(data, ends, size, short)
+                own = np.searchsorted(start, [low, high])
+                ok = np.flatnonzero((at >= own[0]) & (at < own[1]))
+                if wanted is not None:
+                    ok = ok[marks[found[ok] & np.uint64(len(marks) - 1)]]
+                    ok = ok[_among(found[ok], wanted)] if len(wanted) else ok[:0]
                 found, row, at, length, chosen, fit = found[ok], row[ok], at[ok], length[ok], chosen[ok], fit[ok]
-            first = np.searchsorted(owner, row)
-            has = np.concatenate([[0], np.cumsum(slot)])
-            slots: list[list[str]] = [[]] * len(at)
-            opens: list[list[bool]] = [[]] * len(at)
-            for i in np.flatnonzero((chosen >= 0) & ((has[at + length] > has[at]) | (chosen > 0))).tolist():
-                taken = [(w, bool(chosen[i] >> k & 1)) for k, w in enumerate(range(at[i], at[i] + size)) if slot[w] or chosen[i] >> k & 1]
-                slots[i] = [data[start[w] : stop[w]].tobytes().decode(errors="replace").lower() for w, _ in taken]
-                opens[i] = [o for _, o in taken]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(take), batch.column("tag").take(take), pa.array(found.view(np.int64)), pa.array((at - first).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(fit), pa.array(slots, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.bool_()))], names=["id", "tag", "hash", "pos", "n", "fit", "slots", "open"])
+                pos = at - np.searchsorted(owner, row) if low == 0 and high > len(data) else at - own[0] + before
+                before += int(own[1] - own[0])
+                has = np.concatenate([[0], np.cumsum(slot)])
+                slots: list[list[str]] = [[]] * len(at)
+                opens: list[list[bool]] = [[]] * len(at)
+                for i in np.flatnonzero((chosen >= 0) & ((has[at + length] > has[at]) | (chosen > 0))).tolist():
+                    taken = [(w, bool(chosen[i] >> k & 1)) for k, w in enumerate(range(at[i], at[i] + size)) if slot[w] or chosen[i] >> k & 1]
+                    slots[i] = [data[start[w] : stop[w]].tobytes().decode(errors="replace").lower() for w, _ in taken]
+                    opens[i] = [o for _, o in taken]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(id_column).take(take), batch.column("tag").take(take), pa.array(found.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(fit), pa.array(slots, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.bool_()))], names=["id", "tag", "hash", "pos", "n", "fit", "slots", "open"])
 
     return rows
 

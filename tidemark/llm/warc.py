@@ -10,7 +10,8 @@ revisit it. Which digests repeat is found from digests alone; the pages are join
 a skewed join side that Spark splits.
 
 Defined cases: null html is an empty payload, a null url an empty target; rows that repeat a page_id with another
-url or payload are captures of their own, rows that repeat all three are one capture; a null page_id is a response unless its payload has a page with an id; an empty table gives no
+url or payload are captures of their own, rows that repeat all three are one capture, written and reported as often as they
+stand; a null page_id is a response unless its payload has a page with an id; an empty table gives no
 archives and no rows; other columns are ignored.
 """
 
@@ -202,13 +203,16 @@ def read_archives(spark: SparkSession, folder: str, shards: list[dict], with_pay
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row a capture: its response or revisit, request and metadata, and the capture that it refers to."""
+    """One nested row a capture: its response or revisit, request and metadata, the capture that it refers to, and ``copies``: how
+    often the archives hold its response. Each side is brought to one row an id before it is joined."""
     heads = records.where("type in ('response', 'revisit')").select(F.col("record_id").alias("id"), F.struct("type", "uri", "payload_bytes", "payload_digest", "payload", "refers_to").alias("response"))
     request = records.where("type = 'request'").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "uri").alias("request"))
     metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("id"), F.struct("record_id", "page_id", "fields").alias("metadata"))
-    whole = heads.join(request, "id", "left").join(metadata, "id", "left").dropDuplicates(["id"])
+    heads = heads.groupBy("id").agg(F.first("response").alias("response"), F.count(F.lit(1)).alias("copies"))
+    request, metadata = request.dropDuplicates(["id"]), metadata.dropDuplicates(["id"])
+    whole = heads.join(request, "id", "left").join(metadata, "id", "left")
     again = whole.where(F.col("response.refers_to").isNotNull()).withColumn("to", F.col("response.refers_to"))
-    ids = metadata.select(F.col("id").alias("to"), F.col("metadata.page_id").alias("original")).dropDuplicates(["to"])
+    ids = metadata.select(F.col("id").alias("to"), F.col("metadata.page_id").alias("original"))
     again = again.join(ids, "to", "left").drop("to")
     return whole.where(F.col("response.refers_to").isNull()).withColumn("original", F.lit(None).cast("long")).unionByName(again)
 
@@ -219,4 +223,5 @@ def capture_report(pages: DataFrame, least: int = 1000) -> DataFrame:
     folder = scratch_path(spark, "warc")
     # a table: read once, and of a known size when joins are planned
     rows = transactions(written(read_archives(spark, folder, write_archives(pages, folder, least), with_payload=False), "records"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("original").alias("refers_to"))
