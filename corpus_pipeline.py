@@ -1,4 +1,9 @@
-"""A corpus pipeline: STAGES in order, each written as Parquet to the shared folder and read again by the next."""
+"""A corpus pipeline: STAGES in order, each written as Parquet to the shared folder and read again by the next.
+
+Every stage takes all that its predecessor kept, and all but the last return the columns of their input, whatever their names.
+A null text counts as the empty text and stays null; null and repeated doc_ids are values like any other; rows that are the
+same document (doc_id and text) become one row in ``near_copies``; an empty table gives no rows. See ``tidemark.llm.stages``.
+"""
 
 from __future__ import annotations
 
