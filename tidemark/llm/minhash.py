@@ -215,9 +215,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _shared(keys: DataFrame, *names: str) -> DataFrame:
-    """Entries whose key another node has too."""
+    """Entries whose key another node has too. The counts are a table, so that the join is one that Spark splits at a hot key."""
     many = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return keys.join(many, list(names))
+    return keys.join(written(many, "counts"), list(names))
 
 
 class _Links:
@@ -244,7 +244,7 @@ class _Links:
         named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(self.nodes.select("node", "n"), "node")
         parts = named.groupBy("family", "comp").agg(F.sum(F.col("n") * 8 + 200).alias("bytes"))
         whole = parts.groupBy("family").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "comp")).alias("most")).select("family", "bytes", F.col("most.comp").alias("main"), (F.col("bytes") - F.col("most.bytes")).alias("outside"))
-        return written(named.join(whole.where("outside > 0"), "family"), "rest")
+        return written(named.join(written(whole.where("outside > 0"), "apart"), "family"), "rest")
 
     def star(self, rest: DataFrame, salt: int) -> DataFrame:
         """Links of all other components of each family to one node of its outside."""
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # a key's centre is its node with the most company over all keys: an original rather than one of its copies
     company = members.groupBy("node").agg(F.sum("members").alias("company"))
     centres = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("c")).select("key", F.col("c.node").alias("family"))
-    buckets = written(members.select("key", "node").join(centres, "key").select("family", "node").distinct(), "families")  # a family is named by its centre
+    buckets = written(members.select("key", "node").join(written(centres, "centres"), "key").select("family", "node").distinct(), "families")  # a family is named by its centre
     # full sets of the nodes that share a key with another node
     needed = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("row.doc_id").alias("_id"), F.col("row.tag").alias("_tag"))
     texts = keyed(docs)
