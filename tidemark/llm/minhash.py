@@ -42,6 +42,7 @@ MOST = 2 * _CHUNKS - 1  # symbols that linked signatures differ in at most
 _ODD = (_numbers(5, _SYMBOLS) | np.uint64(1)).astype(np.uint32)
 _PLUS = _numbers(6, _SYMBOLS).astype(np.uint32)
 _OUTSIDE, _FAMILY = 1 << 20, 1 << 20  # bytes of each side of a block
+_NODE = 400  # bytes of a node beside its set
 _LARGE = 64  # blocks of an outside that gets further stars, and after these is split
 _STARS = 2
 
@@ -242,7 +243,7 @@ class _Links:
         """Of (family, node): the families with an outside, each node with its component, the largest one of the family by
         bytes, and the bytes of the family and of its outside."""
         named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(self.nodes.select("node", "n"), "node")
-        parts = named.groupBy("family", "comp").agg(F.sum(F.col("n") * 8 + 200).alias("bytes"))
+        parts = named.groupBy("family", "comp").agg(F.sum(F.col("n") * 8 + _NODE).alias("bytes"))
         whole = parts.groupBy("family").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "comp")).alias("most")).select("family", "bytes", F.col("most.comp").alias("main"), (F.col("bytes") - F.col("most.bytes")).alias("outside"))
         return written(named.join(written(whole.where("outside > 0"), "apart"), "family"), "rest")
 
