@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal as D
 
@@ -202,6 +203,55 @@ def test_greedy_matches_query(spark, tmp_path):
     assert got == want and min(s for *_, s in want) < 0.55 and any(0.55 <= s < 0.8 for *_, s in want)
 
 
+def offers(spark, n, seed=5, venues=("kalshi", "polymarket")):
+    """Instruments of few words, so that most titles and many whole rows are alike; some lack a description, a close time, a title's words."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        venue = rng.choice(venues)
+        title = rng.choice(["Will the", f"Will {rng.choice(['salt', 'corn', 'tin'])} {rng.choice(['rise', 'fall'])} beyond {rng.choice([3, 4])}%{rng.choice(['', ' in Oct 2031', ' in Nov 2031'])}", f"Will {rng.choice(['salt', 'corn'])} rise {rng.choice(['again', 'soon', ''])}"])
+        text = rng.choice([None, "of", "the dry harbour", "the wet harbour loan", f"{rng.choice(['corn', 'salt'])} at noon"])
+        rows.append((f"{venue}:{rng.randint(0, 9)}{k}", venue, title, text, rng.choice([None, datetime(2031, 10, 1), datetime(2031, 10, 2), datetime(2031, 10, 9)]), None, "{}"))
+    return spark.createDataFrame(rows, INSTRUMENT)
+
+
+def all_pairs(titles, least):
+    share = lambda x, y: len(set(x or ()) & set(y or ())) / max(len(set(x or ()) | set(y or ())), 1)
+    clash = lambda x, y: bool(x) and bool(y) and not set(x) & set(y)
+    rows, out = sorted(titles.collect(), key=lambda r: r.id), {}
+    for n, a in enumerate(rows):
+        for b in rows[n + 1 :]:
+            timed = a.close_time is not None and b.close_time is not None
+            if a.venue == b.venue or clash(a.dates, b.dates) or clash(a.thresholds, b.thresholds) or timed and abs((a.close_time - b.close_time).total_seconds()) > 48 * 3600:
+                continue
+            score = share(a.combined, b.combined)
+            if a.description is not None and b.description is not None:
+                score = score * 0.7 + share(a.d_combined, b.d_combined) * 0.3
+            score *= 1.0 if timed else 0.85
+            if score > 0 and score >= least:
+                out[a.id, b.id] = score
+    return out
+
+
+@pytest.mark.parametrize("least", [0.0, 0.2, 0.35, 0.8])
+def test_candidate_pairs(spark, least):
+    """All pairs and each once, whether titles or descriptions bring them together."""
+    titles = matching.cut(matching.normalized(offers(spark, 90, venues=("kalshi", "polymarket", "other"))))
+    got = [tuple(r) for r in matching.candidate_pairs(titles, least=least).collect()]
+    want = all_pairs(titles, least)
+    assert len(got) == len(want) and {(a, b): round(s, 12) for a, b, s in got} == {p: round(s, 12) for p, s in want.items()}
+
+
+def test_alike_titles_are_paired_in_time(spark, tmp_path):
+    """4,000 titles of one template: pairs come from the different sets, not from all words of all rows."""
+    from tidemark.plans import queries
+
+    spark.read.parquet("/root/testdata/sf0.1/part.parquet").where("p_partkey < 4000").write.parquet(f"{tmp_path}/part.parquet")
+    start = time.time()
+    assert queries.candidate_pairs(spark, str(tmp_path)).count() > 300_000
+    assert time.time() - start < 45
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
