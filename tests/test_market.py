@@ -252,6 +252,32 @@ def test_alike_titles_are_paired_in_time(spark, tmp_path):
     assert time.time() - start < 45
 
 
+def one_by_one(pairs):
+    taken, out = set(), set()
+    for s, a, b in sorted((-s, a, b) for (a, b), s in pairs.items()):
+        if not taken & {a, b}:
+            taken |= {a, b}
+            out.add((a, b, round(-s, 12)))
+    return out
+
+
+@pytest.mark.parametrize("venues", [("kalshi", "polymarket"), ("kalshi", "polymarket", "zeta")])
+def test_greedy_choice(spark, venues):
+    """Classes of equal instruments and steps of scores choose what a walk over all pairs chooses, in few writes."""
+    titles = matching.cut(matching.normalized(offers(spark, 150, 8, venues)))
+    got = [(a, b, round(s, 12)) for a, b, s in matching.greedy_choice(titles, few=20).collect()]
+    assert len(got) == len(set(got)) and set(got) == one_by_one(all_pairs(titles, 0.35))
+
+
+def test_greedy_of_equal_scores(spark, monkeypatch):
+    """40 instruments a side, all pairs of one score: a chain of 40 choices takes no write for each."""
+    writes, cut = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: writes.append(1) or cut(df))
+    pairs = spark.range(40).selectExpr("format_string('a%02d', id) as a_id").crossJoin(spark.range(40).selectExpr("format_string('b%02d', id) as b_id")).withColumn("score", F.lit(0.5))
+    got = {tuple(r) for r in matching.greedy_pairs(pairs).collect()}
+    assert got == {(f"a{n:02d}", f"b{n:02d}", 0.5) for n in range(40)} and len(writes) <= 4
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
