@@ -278,6 +278,15 @@ def test_greedy_of_equal_scores(spark, monkeypatch):
     assert got == {(f"a{n:02d}", f"b{n:02d}", 0.5) for n in range(40)} and len(writes) <= 4
 
 
+def test_matching_pass_of_alike_titles(spark, monkeypatch):
+    """A pass over 60 equal titles a venue, whose pairs all tie, writes as few tables as one over few titles."""
+    writes, cut = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: writes.append(1) or cut(df))
+    rows = [(f"{v}:{n:02d}", v, "Will salt rise beyond 3%", None, None, None, "{}") for v in ("kalshi", "polymarket") for n in range(60)]
+    after = matching.run_pass(spark.createDataFrame(rows, INSTRUMENT), spark.createDataFrame([], REGISTRY))
+    assert {tuple(r.legs) for r in after.collect()} == {(f"kalshi:{n:02d}", f"polymarket:{n:02d}") for n in range(60)} and len(writes) < 60
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
