@@ -287,6 +287,18 @@ def test_matching_pass_of_alike_titles(spark, monkeypatch):
     assert {tuple(r.legs) for r in after.collect()} == {(f"kalshi:{n:02d}", f"polymarket:{n:02d}") for n in range(60)} and len(writes) < 60
 
 
+def test_candidate_pairs_query_returns_all(spark, tmp_path):
+    """All pairs with a score, also those below the shortlist's 0.35."""
+    from tidemark.plans import queries
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(90).write.parquet(f"{tmp_path}/part.parquet")
+    rows = matching.cut(matching.normalized(queries.instruments(spark, str(tmp_path))))
+    rest = rows.join(matching.rule_pass(rows).select(F.explode("legs").alias("id")), "id", "left_anti")
+    want = {(a, b, round(s, 9)) for (a, b), s in all_pairs(rest, 0.0).items()}
+    got = [tuple(r) for r in queries.candidate_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and any(s < 0.35 for *_, s in want)
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
