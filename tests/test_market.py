@@ -299,6 +299,18 @@ def test_candidate_pairs_query_returns_all(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want and any(s < 0.35 for *_, s in want)
 
 
+def test_equal_instruments_are_scored_once(spark, monkeypatch):
+    """Copies are scored as one, in blocks, and written out as all their pairs."""
+    met, apart = [], matching._apart
+    monkeypatch.setattr(matching, "_apart", lambda df, *c: met.append(df.count()) or apart(df, *c))
+    copies = offers(spark, 20).crossJoin(spark.range(15).select(F.col("id").alias("n"))).withColumn("id", F.concat("id", F.lit("-"), "n")).drop("n")
+    titles = matching.cut(matching.normalized(copies))
+    want = all_pairs(titles, 0.0)
+    got = [tuple(r) for r in matching.candidate_pairs(titles, most=8).collect()]
+    assert len(got) == len(want) and {(a, b): round(s, 12) for a, b, s in got} == {p: round(s, 12) for p, s in want.items()}
+    assert sum(met) * 20 < len(want)
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
