@@ -311,6 +311,23 @@ def test_equal_instruments_are_scored_once(spark, monkeypatch):
     assert sum(met) * 20 < len(want)
 
 
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    read, with_title = [], matching.with_title
+    monkeypatch.setattr(matching, "with_title", lambda df, *a: read.append(df.count()) or with_title(df, *a))
+    rows = [(f"kalshi:{n}", "kalshi", ["Will salt rise beyond 3%", "Will tin fall", None][n % 3], ["in May 2031", None][n % 2], None, None, "{}") for n in range(60)]
+    got = {r.id: (r.combined, r.d_combined) for r in matching.normalized(spark.createDataFrame(rows, INSTRUMENT)).collect()}
+    assert len(got) == 60 and got["kalshi:0"] == (["beyond", "pct:3", "rise", "salt"], ["2031-05"]) and got["kalshi:5"] == (None, None)
+    assert sum(read) <= 3
+
+
+@pytest.mark.parametrize("few", [5, 45])
+def test_greedy_choice_by_work(spark, few):
+    """Steps that are counted and taken together, or all taken, choose what a walk over all pairs chooses."""
+    titles = matching.cut(matching.normalized(offers(spark, 300, 9)))
+    got = [(a, b, round(s, 12)) for a, b, s in matching.greedy_choice(titles, few=few).collect()]
+    assert len(got) == len(set(got)) and set(got) == one_by_one(all_pairs(titles, 0.35))
+
+
 def test_policies(spark):
     assert policies.lag(spark.createDataFrame([(20, 0)], "head long, cursor long"), 4).first().missed == 16
     kept = policies.retained(policies.batches(spark.createDataFrame([("t", n) for n in range(8)], "t string, n long"), "t", "n", 2), "t", 4)
